@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, packing, sharding, simhash, token_counts
+from . import chat, decontam, langid, line_dedup, packing, sharding, simhash, token_counts, toxicity, vectors
 
 #: Where the public vocabulary files are.
 TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rest(n: int):
+    """crc32(doc_id as text) mod n, by which rows are held out."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _rest(4) != 2)
+    return toxicity.score(docs, net).select("doc_id", (_rest(4) == 2).alias("held_out"), "score", "predicted", "flagged")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -36,10 +47,22 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(slim, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.verdicts(_table(spark, sf_dir, "documents"), _rest(5) != 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
@@ -47,7 +70,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.unionByName(extra))
 
 
-OPS = [op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_sharding, op7_simhash_near_dedup, op10_chat_formatting]
+OPS = [op1_toxicity, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_sharding, op6_language_id, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_embedding_near_dedup, op10_chat_formatting]
 
 SQL = {
     "op2_line_dedup": r"""
