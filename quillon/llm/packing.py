@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -20,18 +21,53 @@ _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
+#: Letters whose lower case and composed form do not depend on their neighbours, and plain ASCII.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it shows, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256))
+
+
 class WordIds(dict):
-    """Token ids (little-endian bytes) by white-space-separated word; the tokenizer never joins words across white space."""
+    """Token ids (little-endian bytes) by white-space-separated word; the tokenizer never joins words across white space.
+
+    A new word of plain letters is cut by the tokenizer's own pattern, and only parts not seen before go to its model;
+    any other word goes through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.parts = Tokenizer.from_file(path), most, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        rules = json.loads(self.tokenizer.to_str())
+        steps, clean = rules["pre_tokenizer"].get("pretokenizers", []), rules["normalizer"].get("normalizers", [])
+        known = [x["type"] for x in steps] == ["Split", "ByteLevel"] and [x["type"] for x in clean] == ["NFC", "Replace", "Lowercase"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        self.cut = regex.compile(steps[0]["pattern"]["Regex"]).findall if known else None
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            if len(self.parts) >= self.most:
+                self.parts.clear()
+            if len(part) < 100:
+                self.parts[part] = found
+        return found
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = b"".join([self._part(p) for p in self.cut(word.lower())]) if self.cut and _PLAIN.fullmatch(word) else self._ids(word)
         if len(word) < 100:
             if len(self) >= self.most:
                 self.clear()
@@ -41,7 +77,7 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         """The ids of a whole text. Texts with a special token's string go to the tokenizer whole: it cuts there."""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._ids(text)
         words = [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
         return b"".join(map(self.__getitem__, words))
 
