@@ -47,7 +47,7 @@ def term_scores(ix: Index, queries: DataFrame, kind: str = "okapi", k1: float =
 
 
 def top_k(ix: Index, chunks: DataFrame, queries: DataFrame, k: int, id_: str = "id", **options) -> DataFrame:
-    """(query_id, id, score, rank): the k best chunks of each query, ties by id; chunks without a query term score 0.
+    """(query_id, id, score, rank): the k best chunks of each query, ties (to nine decimals) by id; chunks without a query term score 0.
 
     A chunk that scores 0 ranks by id, so beside the scored ones only the first 2 k chunks can be needed: no query is
     joined with all chunks.
@@ -56,12 +56,12 @@ def top_k(ix: Index, chunks: DataFrame, queries: DataFrame, k: int, id_: str = "
     first = chunks.select(F.col(id_).alias("id")).orderBy("id").limit(2 * k)
     fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
     both = scored.unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def document_scores(scores: DataFrame, chunks: DataFrame, per_term: int = 100) -> DataFrame:
     """(query_id, doc_id, score): each term's per_term best chunks, summed by document. chunks: id, doc_id."""
-    w = Window.partitionBy("query_id", "term").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id", "term").orderBy(F.desc(F.round("score", 9)), "id")
     best = scores.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_term)
     return best.join(chunks.select("id", "doc_id"), "id").groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
