@@ -45,7 +45,7 @@ def ppr_weighted_reset(t: Tables) -> DataFrame:
 @query()
 def ppr_converged(t: Tables) -> DataFrame:
     """To convergence; each question's scores sum to 1."""
-    scores = G.pagerank(edges(t), seeds(t).where("query_id < 5"), 0.5, 30, normalize=True, tolerance=1e-7)
+    scores = G.pagerank(edges(t), seeds(t).where("query_id < 5"), 0.5, 20, normalize=True, tolerance=1e-5)
     return rounded(scores.groupBy("query_id").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("nodes")))
 
 
