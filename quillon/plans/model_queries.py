@@ -1 +1,88 @@
+"""Clusters, trees, tuning and model stand-ins. Most have no SQL; tests hold them against small cases."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.catalog import Tables, query
+from quillon.functions import models as M
+from quillon.functions import text as T
+from quillon.operators import cluster as C
+from quillon.operators import tuning
+from quillon.plans.lexical_queries import questions as asked
+from quillon.plans.runlog_queries import rounded
+from quillon.plans.vector_queries import chunks, questions
+
+
+@query()
+def document_centroids(t: Tables) -> DataFrame:
+    return C.document_centroids(chunks(t), 5).select("doc_id", "centroid_no", "n", F.round(F.col("centroid")[0], 6).alias("first"))
+
+
+@query()
+def mixture_clusters(t: Tables) -> DataFrame:
+    return C.cluster_groups(chunks(t).withColumnRenamed("doc_id", "group"))
+
+
+def tree(t: Tables) -> DataFrame:
+    leaves = t.documents.where("length(text) < 1500").select((F.col("doc_id") % 4).alias("group"), F.col("doc_id").alias("id"), "text", M.encode(F.col("text")).cast("array<double>").alias("vector"))
+    return C.build_tree(leaves, M.summarize, M.hashed_vector)
+
+
+@query()
+def summary_tree(t: Tables) -> DataFrame:
+    return tree(t).select("group", "id", "layer", F.size("children").alias("children"), F.length("text").alias("n_chars"))
+
+
+@query()
+def collapsed_tree(t: Tables) -> DataFrame:
+    own = tree(t).where("group = 0")
+    q = asked(t).select(F.col("query_id").alias("id"), M.encode(F.col("text")).alias("vector"))
+    return rounded(C.collapsed(own, q, 10, 600).select("query_id", "id", "layer", "rank"))
+
+
+@query()
+def tree_traversal(t: Tables) -> DataFrame:
+    q = asked(t).select(F.col("query_id").alias("id"), M.encode(F.col("text")).alias("vector"))
+    return C.traverse(tree(t).where("group = 0"), q, 5, 3)
+
+
+@query()
+def pairwise_ranker(t: Tables) -> DataFrame:
+    rows = t.labels.join(t.documents, "doc_id").select((F.col("doc_id") % 20).alias("q"), "quality", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"), F.col("toxic").cast("double").alias("toxic"))
+    w = tuning.pairwise_weights(rows, "q", "quality", ["n_chars", "lines", "toxic"], rounds=15)
+    return t.spark.createDataFrame([(k, round(v, 4)) for k, v in w.items()], "feature string, weight double")
+
+
+@query()
+def greedy_articles(t: Tables) -> DataFrame:
+    """Questions in order that fit a budget of distinct articles; sequential by nature, over a report-sized list."""
+    groups = t.orders.where("o_orderkey <= 2000").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s")).orderBy("o_orderkey").collect()
+    return t.spark.createDataFrame([(k,) for k in tuning.greedy_selection([(g.o_orderkey, g.s) for g in groups], 60)], "question long")
+
+
+@query()
+def entity_triples(t: Tables) -> DataFrame:
+    return M.cooccurrences(t.documents.select(F.col("doc_id").alias("id"), "text"))
+
+
+@query(r"""with q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as w from documents)
+select item_id, doc_id, round(len(list_intersect(q.w, d.w)) / greatest(1, len(q.w)), 6) as score from q join d on d.doc_id % 40 = q.item_id""")
+def rerank_scores(t: Tables) -> DataFrame:
+    both = t.benchmark.select("item_id", F.col("text").alias("q")).join(t.documents.select("doc_id", "text"), F.col("doc_id") % 40 == F.col("item_id"))
+    return both.select("item_id", "doc_id", F.round(M.rerank_score(F.col("q"), F.col("text")), 6).alias("score"))
+
+
+@query()
+def closest_fact(t: Tables) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("ALGERIA", "FRANCE", "GERMANY", "PERU")])
+    return t.nation.select("n_nationkey", "n_name", M.closest(F.col("n_name"), names).alias("closest"))
+
+
+@query()
+def response_parsing(t: Tables) -> DataFrame:
+    """Sections, truncated JSON, escapes and typed triples of model outputs."""
+    said = F.concat(F.lit("[[ ## fact_after_filter ## ]]\n{\"fact\": [[\""), "n_name", F.lit("\", \"is\", \"x"))
+    tagged = F.concat(F.lit("tp_XX<triplet> "), "n_name", F.lit(" <loc> place <misc> part of"))
+    return t.nation.select("n_nationkey", T.closed_json(T.filter_section(said)).alias("fact"), T.decoded(F.concat(F.lit("\\u00e9 "), "n_name")).alias("decoded"), F.to_json(T.typed_triples(tagged)).alias("triples"))
