@@ -79,6 +79,10 @@ class Counter:
             settle(done)
         return pieces[size]
 
+    def of_word(self, word: str) -> int:
+        """A word begins with a space mark, and is cut before any that it holds."""
+        return sum(map(self.count, re.findall("▁[^▁]*", word if word.startswith("▁") else "▁" + word)))
+
     def _fallback(self, text: str) -> int:
         raw = text.encode("utf-8", "surrogatepass")
         return len(raw) if self.bytes.issuperset(raw) else 1
@@ -97,7 +101,7 @@ def count_tokens(docs: DataFrame, model: str, column: str = "text") -> DataFrame
         for batch in batches:
             split = [[w for w in _SPACE.split(t) if w] if _ODD.search(t) else t.split() for t in (x or "" for x in batch.column(1).to_pylist())]
             n = words.numbers([w for own in split for w in own])
-            counts = np.concatenate((counts, np.fromiter((counter.count("▁" + w) for w in words.fresh), np.int64, len(words.fresh))))
+            counts = np.concatenate((counts, np.fromiter(map(counter.of_word, words.fresh), np.int64, len(words.fresh))))
             words.fresh.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sum_runs(counts[n], np.array([len(x) for x in split], np.int64)).astype(np.int64))], ["doc_id", "n_tokens"])
             if words.full:
