@@ -243,6 +243,6 @@ def verdicts(docs: DataFrame, train: Column | None = None) -> DataFrame:
 def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
     """docs with lang_pred, score and rejected, as verdicts() has them; columns of these names are replaced."""
     new = ["lang_pred", "score", "rejected"]
-    found = verdicts(docs, train).select(F.col("doc_id").alias("_id"), "text_hash", *new).dropDuplicates(["_id", "text_hash"])
+    found = verdicts(docs, train).select(F.col("doc_id").alias("__quillon_id"), F.col("text_hash").alias("__quillon_hash"), *new).dropDuplicates(["__quillon_id", "__quillon_hash"])
     own = docs.drop(*new)
-    return own.join(found, own["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(own["text"]) == found["text_hash"])).drop("_id", "text_hash")
+    return own.join(found, own["doc_id"].eqNullSafe(found["__quillon_id"]) & (F.xxhash64(own["text"]) == found["__quillon_hash"])).drop("__quillon_id", "__quillon_hash")

@@ -75,9 +75,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     n_dropped or drops are replaced). Repeated rows stay repeated; an empty table gives an empty one.
     """
     maps = keep_bitmaps(docs, min_chars, min_docs)
-    own = docs.drop("n_lines", "n_dropped", "drops").withColumn("_hash", F.xxhash64("text"))
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), "drops", "n_dropped")
-    met = own.join(maps, own["doc_id"].eqNullSafe(maps["_id"]) & (own["_hash"] == maps["_text_hash"]), "left").drop("_id", "_text_hash", "_hash")
+    own = docs.drop("n_lines", "n_dropped", "drops").withColumn("__quillon_hash", F.xxhash64("text"))
+    maps = maps.select(F.col("doc_id").alias("__quillon_id"), F.col("text_hash").alias("__quillon_text_hash"), "drops", "n_dropped")
+    met = own.join(maps, own["doc_id"].eqNullSafe(maps["__quillon_id"]) & (own["__quillon_hash"] == maps["__quillon_text_hash"]), "left").drop("__quillon_id", "__quillon_text_hash", "__quillon_hash")
     stays = F.filter(_lines(), lambda line, i: F.coalesce(F.try_element_at("drops", F.shiftright(i, 6)), F.lit(0)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))) == 0)
     return met.withColumns({
         "n_lines": F.size(_lines()).cast("long"),

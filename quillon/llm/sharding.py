@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows are ranked inside buckets; about so many rows fall into one.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 200_000
 
 
 def _ranked(rows: DataFrame, groups: list[str], bucket: str, order: list[str], rank: str) -> DataFrame:
     """Numbers from 1 in each group, by bucket and then by order. Only counts of buckets meet in one task, never a whole group."""
-    counts = rows.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.withColumn("_before", F.coalesce("_before", F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*groups))).drop("_n")
-    within = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(*order)))
-    return within.join(before, [*groups, bucket]).withColumn(rank, F.col("_before") + F.col("_row")).drop("_before", "_row")
+    counts = rows.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("__q_n"))
+    before = counts.withColumn("__q_before", F.sum("__q_n").over(Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.withColumn("__q_before", F.coalesce("__q_before", F.lit(0))).withColumn("__q_all", F.sum("__q_n").over(Window.partitionBy(*groups))).drop("__q_n")
+    within = rows.withColumn("__q_row", F.row_number().over(Window.partitionBy(*groups, bucket).orderBy(*order)))
+    return within.join(before, [*groups, bucket]).withColumn(rank, F.col("__q_before") + F.col("__q_row")).drop("__q_before", "__q_row")
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 5, strata: str = "source") -> DataFrame:
@@ -37,20 +37,20 @@ def assign_shards(docs: DataFrame, shards: int = 40, seed: int = 5, strata: str
     while total / 16**digits > BUCKET_ROWS:
         digits += 1
     rows = rows.withColumns({
-        "_source": F.concat(F.lit("s"), F.coalesce(F.col(strata).cast("string"), F.lit(""))) if strata in docs.columns else F.lit("s"),
-        "_key": F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))),
-    }).withColumn("_bucket", F.substring("_key", 1, digits))
+        "__q_source": F.concat(F.lit("s"), F.coalesce(F.col(strata).cast("string"), F.lit(""))) if strata in docs.columns else F.lit("s"),
+        "__q_key": F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))),
+    }).withColumn("__q_bucket", F.substring("__q_key", 1, digits))
     if strata in docs.columns:
-        rows = rows.withColumn("_source", F.when(F.col(strata).isNull(), F.lit("n")).otherwise(F.col("_source")))
-    tie = ["_key", F.asc_nulls_first("doc_id"), "size"]
-    rows = _ranked(rows, ["_source"], "_bucket", tie, "_rank").withColumn("_share", (F.col("_rank") * 2 - 1) / (F.col("_all") * 2))
+        rows = rows.withColumn("__q_source", F.when(F.col(strata).isNull(), F.lit("n")).otherwise(F.col("__q_source")))
+    tie = ["__q_key", F.asc_nulls_first("doc_id"), "size"]
+    rows = _ranked(rows, ["__q_source"], "__q_bucket", tie, "__q_rank").withColumn("__q_share", (F.col("__q_rank") * 2 - 1) / (F.col("__q_all") * 2))
     parts = 16**digits
-    rows = rows.drop("_all", "_bucket", "_rank").withColumn("_bucket", F.floor(F.col("_share") * parts))
-    rows = _ranked(rows.withColumn("_one", F.lit(1)), ["_one"], "_bucket", ["_share", *tie, "_source"], "_rank")
-    at = F.col("_rank") - 1
-    shard = F.expr(f"cast((_rank - 1) * {shards} div _all as int)")
+    rows = rows.drop("__q_all", "__q_bucket", "__q_rank").withColumn("__q_bucket", F.floor(F.col("__q_share") * parts))
+    rows = _ranked(rows.withColumn("__q_one", F.lit(1)), ["__q_one"], "__q_bucket", ["__q_share", *tie, "__q_source"], "__q_rank")
+    at = F.col("__q_rank") - 1
+    shard = F.expr(f"cast((__q_rank - 1) * {shards} div __q_all as int)")
     return (
         rows.withColumn("shard", shard)
-        .withColumn("slot", (at - F.expr(f"(cast(shard as bigint) * _all + {shards - 1}) div {shards}")).cast("long"))
-        .drop("_source", "_key", "_bucket", "_share", "_one", "_rank", "_all")
+        .withColumn("slot", (at - F.expr(f"(cast(shard as bigint) * __q_all + {shards - 1}) div {shards}")).cast("long"))
+        .drop("__q_source", "__q_key", "__q_bucket", "__q_share", "__q_one", "__q_rank", "__q_all")
     )
