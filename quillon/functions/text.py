@@ -152,7 +152,7 @@ def biomedical_keywords(question: Column) -> Column:
 
 
 def joined_abstract(parts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda p: p != ""), " ")
+    return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " ")
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -70,7 +70,7 @@ def tagged_articles(spark: SparkSession, path: str) -> DataFrame:
     """The same from <doc id=".." title="..">..</doc> elements."""
     parts = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<doc\b.*?</doc>"), F.lit(0))).alias("d"))
     pick = lambda name: F.regexp_extract("d", rf'{name}="(.*?)"', 1)
-    return parts.select(pick("id").alias("id"), pick("title").alias("title"), F.trim(F.regexp_extract("d", r"(?s)<doc\b[^>]*>(.*)</doc>", 1)).alias("text"))
+    return parts.select(pick("id").alias("id"), pick("title").alias("title"), F.regexp_extract("d", r"(?s)<doc\b[^>]*>\s*(.*?)\s*</doc>", 1).alias("text"))
 
 
 def multi_hop(spark: SparkSession, corpus: str, queries: str) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +88,7 @@ def multi_hop(spark: SparkSession, corpus: str, queries: str) -> tuple[DataFrame
 def novel_questions(spark: SparkSession, path: str) -> DataFrame:
     """(book, question_id, question, labels, choices, gold) from maps of questions, one file a book."""
     value = "map<string, struct<Question:string, Options:map<string,string>, Gold:string, Evidences:map<string, struct<Evidence:string, Sent:string>>>>"
-    own = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.s?json$", "").alias("book"), F.explode(F.from_json("value", value)).alias("question_id", "q"))
+    own = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.(json|sjon)$", "").alias("book"), F.explode(F.from_json("value", value)).alias("question_id", "q"))
     return own.select("book", "question_id", F.col("q.Question").alias("question"), F.map_keys("q.Options").alias("labels"), F.map_values("q.Options").alias("choices"), F.col("q.Gold").alias("gold"), F.transform(F.map_values("q.Evidences"), lambda e: F.coalesce(e["Evidence"], e["Sent"])).alias("evidence"))
 
 
@@ -117,3 +117,10 @@ def openie_averages(docs: DataFrame) -> DataFrame:
 def missing(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a cache or an earlier, interrupted run has not got yet."""
     return keys.join(done.select(key), key, "left_anti")
+
+
+def captured_abstracts(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, title, year, abstract) of article sets in XML, as the literature service sends them; fetching is not done here."""
+    own = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<PubmedArticle\b.*?</PubmedArticle>"), F.lit(0))).alias("x"))
+    pick = lambda at: F.xpath_string("x", F.lit(at))
+    return own.select(pick("//PMID").alias("pmid"), pick("//ArticleTitle").alias("title"), pick("//PubDate/Year").alias("year"), T.joined_abstract(F.xpath("x", F.lit("//AbstractText/text()"))).alias("abstract"))

@@ -40,3 +40,10 @@ def document_folders(docs: DataFrame, path: str) -> None:
 def graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def solutions(found: DataFrame, answers: DataFrame, most: int = 5) -> DataFrame:
+    """One row a question: its first most chunks, their scores to four digits, and the answer."""
+    rows = F.slice(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))), 1, most)
+    own = found.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.transform("r", lambda x: x["text"]).alias("docs"), F.transform("r", lambda x: F.round(x["score"], 4)).alias("doc_scores"))
+    return answers.select("query_id", "answer").join(own, "query_id", "left")
