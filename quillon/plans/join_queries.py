@@ -113,7 +113,7 @@ def correctness(t: Tables) -> DataFrame:
 NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\s+'), lambda w: w not in ('', 'a', 'an', 'the')), ' ')".replace('\\"', '"')
 
 
-@query(f"select p_partkey, cast({NORM.format('p_name')} = {NORM.format('p_type')} or {NORM.format('p_name')} = {NORM.format('upper(p_name)')} as double) as em, 1.0 as best from part")
+@query(f"select p_partkey, cast({NORM.format('p_name')} = {NORM.format('p_type')} or {NORM.format('p_name')} = {NORM.format('upper(p_name)')} as double) as em, cast(1 as double) as best from part")
 def exact_match(t: Tables) -> DataFrame:
     golds = F.array("p_type", F.upper("p_name"))
     return t.part.select("p_partkey", E.exact_match(F.col("p_name"), golds).alias("em"), E.token_f1(F.col("p_name"), golds).alias("best"))

@@ -111,7 +111,7 @@ def performance_table(t: Tables) -> DataFrame:
     return rounded(R.recall_at_k(log, [5, 25]).join(R.accuracy(log), "run_id", "left").join(scores, "run_id", "left"))
 
 
-@query(f"""with {LOG}, c as (select run_id, entry_type, avg(number) as v from log group by 1, 2) select r.run_id, round(coalesce(max(case when entry_type = 'answer' then v end), 0), 6) as answer, round(coalesce(max(case when entry_type = 'proof' then v end), 0), 6) as proof, 0.0 as absent
+@query(f"""with {LOG}, c as (select run_id, entry_type, avg(number) as v from log group by 1, 2) select r.run_id, round(coalesce(max(case when entry_type = 'answer' then v end), 0), 6) as answer, round(coalesce(max(case when entry_type = 'proof' then v end), 0), 6) as proof, cast(0 as double) as absent
 from (select unnest(['run0', 'run1', 'run2', 'run9']) as run_id) r left join c on c.run_id = r.run_id group by r.run_id""")
 def approach_matrix(t: Tables) -> DataFrame:
     cells = log_of(t).groupBy("run_id", "entry_type").agg(F.avg("number").alias("v"))

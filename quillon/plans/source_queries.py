@@ -71,7 +71,7 @@ def ranking_files(t: Tables) -> DataFrame:
     return back.select("query_id", "key", F.size("document_scores").alias("documents"), F.size("correct_chunk_ids").alias("correct"))
 
 
-@query("select round(avg(length(source)), 4) as avg_ent_chars, 1.0 as avg_ent_words from documents")
+@query("select round(avg(length(source)), 4) as avg_ent_chars, cast(1 as double) as avg_ent_words from documents")
 def openie_averages(t: Tables) -> DataFrame:
     return readers.openie_averages(t.documents.select(F.array("source").alias("extracted_entities")))
 

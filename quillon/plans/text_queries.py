@@ -210,7 +210,7 @@ def merged_by_first_line(t: Tables) -> DataFrame:
     return own.groupBy("title").agg(F.min("doc_id").alias("first_doc"), F.md5(F.array_join(bodies, "\n")).alias("body_md5"))
 
 
-@query("select sum(1) as documents, cast(sum(floor(w * 1.3)) as bigint) as tokens, cast(sum(ceil(floor(w * 1.3) / 1200)) as bigint) as chunks from (select len(%s) as w from documents)" % WORDS_SQL)
+@query("select count(*) as documents, cast(sum(floor(w * 1.3)) as bigint) as tokens, cast(sum(ceil(floor(w * 1.3) / 1200)) as bigint) as chunks from (select len(%s) as w from documents)" % WORDS_SQL)
 def dataset_profile(t: Tables) -> DataFrame:
     n = F.floor(F.size(T.words(F.col("text"))) * 1.3)
     return t.documents.select(n.alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum(F.ceil(F.col("n") / 1200)).alias("chunks"))

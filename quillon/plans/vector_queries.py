@@ -54,7 +54,7 @@ def mean_pool(t: Tables) -> DataFrame:
 
 
 @query("""with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), g as (select *, 1 - list_cosine_similarity(lag(e) over (partition by label order by vec_id), e) as gap from v),
-l as (select *, quantile_cont(gap, 0.95) over (partition by label) as most from g) select vec_id, label, round(gap, 6) as gap, sum(case when gap > most then 1 else 0 end) over (partition by label order by vec_id) as segment from l""")
+l as (select *, quantile_cont(gap, 0.95) over (partition by label) as most from g) select vec_id, label, round(gap, 6) as gap, cast(sum(case when gap > most then 1 else 0 end) over (partition by label order by vec_id) as bigint) as segment from l""")
 def semantic_breaks(t: Tables) -> DataFrame:
     return rounded(S.semantic_breaks(t.embeddings, "label", "vec_id", "embedding").select("vec_id", "label", "gap", "segment"))
 
