@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -18,6 +19,8 @@ ITEMS = 2000
 PASSAGE, RANK, EXTRA = 64, 48, 8
 #: Terms in more than this part of the passages say nothing about a text and weigh nothing. A window needs so many others.
 COMMON, TERMS = 0.003, 2
+#: Besides what an item may miss, so large a part of its words (and at least two) counts among its rare ones, see Rare.
+SPARE = 0.3
 #: Window lengths for items grow by this factor; windows start every third of their length.
 GROWTH = 1.5
 
@@ -86,8 +89,8 @@ def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     return at, np.concatenate(terms).astype(np.int64) if len(terms) else np.zeros(0, np.int64), int(tiles.sum())
 
 
-def idf(encoded: DataFrame, width: int) -> np.ndarray:
-    """Smoothed inverse passage frequency of each term over all passages; 0 for common terms."""
+def idf(encoded: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed inverse passage frequency of each term over all passages, 0 for common terms; and in how many passages each is."""
 
     def run(batches):
         found, total = np.zeros(width, np.int64), 0
@@ -104,7 +107,7 @@ def idf(encoded: DataFrame, width: int) -> np.ndarray:
     common = found > max(50, COMMON * total)
     if common.all():
         common[:] = False
-    return np.where(common, 0.0, np.log((1 + total) / (1 + found)) + 1)
+    return np.where(common, 0.0, np.log((1 + total) / (1 + found)) + 1), found
 
 
 def _gram(encoded: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -170,11 +173,72 @@ def _holds(region: list[int], answer: list[int]) -> bool:
     return any(region[i : i + n] == answer for i in range(len(region) - n + 1))
 
 
+def grid(size: int) -> tuple[int, int, int]:
+    """(step, before, cells) of windows of this length: they start every step words; their regions, from half a window before to half a window after, start at most so many cells of a step before and touch at most so many."""
+    step = max(1, size // 3)
+    before = -(-(size // 2) // step)
+    return step, before, (2 * size - size // 2 - 1) // step + before + 1
+
+
+class Rare:
+    """What every region that holds an item of a window length must have, whatever the latent space says of it.
+
+    A region with the share similarity of an item's n words lacks at most n - similarity n of them, so it has all but as
+    many of the item's rare ones, which are its rarest words until they are that many and SPARE more. If only the share
+    loose is there, the answer stands in one run, so its first three words do.
+    """
+
+    def __init__(self, items: Items, members: list[int], passages: np.ndarray, similarity: float, loose: float):
+        terms, owners, times = [], [], []
+        self.need = np.zeros(len(members), np.int64)
+        width = len(passages)
+        runs: dict[int, list[int]] = defaultdict(list)
+        for j, item in enumerate(members):
+            words, answer = items.words[item], items.answers[item]
+            own, counts = np.unique(words, return_counts=True)
+            order = np.lexsort((own, passages[own]))
+            lacks = len(words) - math.ceil(similarity * len(words) - 1e-9)
+            total = np.cumsum(counts[order])
+            most = int(np.searchsorted(total, lacks + max(2, SPARE * len(words)))) + 1
+            self.need[j] = total[:most][-1] - lacks
+            terms.append(own[order[:most]])
+            times.append(counts[order[:most]])
+            owners.append(np.full(len(terms[-1]), j))
+            if len(answer) >= 3 and loose < similarity:
+                runs[(answer[0] * width + answer[1]) * width + answer[2]].append(j)
+        terms = np.concatenate(terms)
+        order = np.argsort(terms, kind="stable")
+        self.owner, self.times = np.concatenate(owners)[order], np.concatenate(times)[order]
+        self.first = np.searchsorted(terms[order], np.arange(width + 1))
+        self.runs, self.keys = dict(runs), np.array(sorted(runs), np.int64)
+
+    def windows(self, places: np.ndarray, terms: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(member, window) of all regions that may hold an item; windows are numbered by step."""
+        step, before, cells = grid(size)
+        width = int(places[-1]) // step + 2 * cells + 2  # no two members' cells are within a region
+        many = (self.first[1:] - self.first[:-1])[terms]
+        on = np.flatnonzero(many)
+        many = many[on]
+        at = np.arange(many.sum()) + np.repeat(self.first[terms[on]] - (np.cumsum(many) - many), many)
+        key, back = np.unique(self.owner[at] * width + np.repeat(places[on] // step, many), return_inverse=True)
+        total = np.concatenate(([0], np.cumsum(np.bincount(back, self.times[at], len(key)))))
+        enough = total[np.searchsorted(key, key + cells)] - total[:-1] >= self.need[key // width]
+        spots = [key[enough]]
+        if len(self.keys) and len(terms) >= 3:
+            n, t = len(self.first) - 1, terms.astype(np.int64)
+            run = (t[:-2] * n + t[1:-1]) * n + t[2:]
+            for i in np.flatnonzero(np.isin(run, self.keys)).tolist():
+                spots.append(np.array([j * width + int(places[i]) // step for j in self.runs[int(run[i])]], np.int64))
+        spots = np.unique(np.concatenate(spots))
+        found = np.unique((spots[:, None] + before - np.arange(cells)[None]).ravel())
+        return found // width, found % width
+
+
 def matches_of(batch: pa.RecordBatch, items: Items, weights: np.ndarray, space: np.ndarray, queries: dict, least: float, similarity: float, loose: float) -> list[tuple]:
     """Rows of LEAKS for the items that a batch of encoded documents holds.
 
     All documents lie on one line of words, with gaps that no window or region bridges. Windows start every third of
-    their length at or before the terms that weigh something.
+    their length at or before the terms that weigh something. Those that Rare names are looked at whatever their cosine.
     """
     docs, n_words = batch.column("doc_id").to_pylist(), batch.column("n_words").to_numpy()
     gap = 4 * max(queries)
@@ -189,10 +253,27 @@ def matches_of(batch: pa.RecordBatch, items: Items, weights: np.ndarray, space:
     at, of = places[heavy], terms[heavy]
     mark = np.zeros(len(weights), bool)
     found: dict[tuple[int, int], tuple[float, float, int]] = {}
-    for size, (members, matrix) in queries.items():
-        step = max(1, size // 3)
-        grid = np.unique(at // step)
-        starts = np.unique(np.concatenate((grid, grid - 1, grid - 2))) * step
+
+    def look(item: int, start: int, size: int, cosine) -> None:
+        words, s = items.words[item], start - size // 2
+        lo_, hi_ = np.searchsorted(places, (s, s + 2 * size))
+        region = terms[lo_:hi_]
+        mark[region] = True
+        held = int(mark[words].sum())
+        mark[region] = False
+        if not held or held < (loose if len(items.answers[item]) >= 3 else similarity) * len(words):
+            return
+        share = lcs(words, region) / len(words)
+        if share >= similarity or (share >= loose and len(items.answers[item]) >= 3 and _holds(region.tolist(), items.answers[item])):
+            doc = int(np.searchsorted(base, places[lo_], "right")) - 1
+            key = (doc, item)
+            if key not in found or share > found[key][1]:
+                found[key] = (float(cosine()), share, max(0, s - int(base[doc])))
+
+    for size, (members, matrix, rare) in queries.items():
+        step = grid(size)[0]
+        cells = np.unique(at // step)
+        starts = np.unique(np.concatenate((cells, cells - 1, cells - 2))) * step
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + size)
         on = hi - lo >= TERMS
         starts, lo, hi = starts[on], lo[on], hi[on]
@@ -205,21 +286,15 @@ def matches_of(batch: pa.RecordBatch, items: Items, weights: np.ndarray, space:
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
             cos = w @ matrix
             for i, j in zip(*np.nonzero(cos >= least), strict=True):
-                item = members[j]
-                words, s = items.words[item], int(starts[a + i]) - size // 2
-                lo_, hi_ = np.searchsorted(places, (s, s + 2 * size))
-                region = terms[lo_:hi_]
-                mark[region] = True
-                held = int(mark[words].sum())
-                mark[region] = False
-                if held < (loose if len(items.answers[item]) >= 3 else similarity) * len(words):
-                    continue
-                share = lcs(words, region) / len(words)
-                if share >= similarity or (share >= loose and len(items.answers[item]) >= 3 and _holds(region.tolist(), items.answers[item])):
-                    doc = int(np.searchsorted(base, places[lo_], "right")) - 1
-                    key = (doc, item)
-                    if key not in found or share > found[key][1]:
-                        found[key] = (float(cos[i, j]), share, max(0, s - int(base[doc])))
+                look(members[j], int(starts[a + i]), size, lambda: cos[i, j])  # noqa: B023
+
+        def cosine() -> float:
+            v = space[of[slice(*np.searchsorted(at, (start, start + size)))]].sum(axis=0)  # noqa: B023
+            return v @ matrix[:, j] / max(np.linalg.norm(v), 1e-9)  # noqa: B023
+
+        for j, window in zip(*(x.tolist() for x in rare.windows(places, terms, size)), strict=True):
+            start = window * step
+            look(members[j], start, size, cosine)
     return [(docs[doc], items.ids[item], *v) for (doc, item), v in found.items()]
 
 
@@ -228,7 +303,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, l
 
     Passages and items become TF-IDF vectors over the items' terms (words, lower case), of which common ones weigh nothing,
     and are projected on the leading singular vectors of all documents' passages. Windows about as long as an item whose cosine to it is at least least
-    are candidates. A candidate stands if the longest common subsequence of the item and the words around covers
+    are candidates, and so are, whatever their cosine and however common the words, all windows around which enough of the
+    item's words or its answer's first three stand (see Rare), so no window that would stand is passed over. A candidate stands if the longest common subsequence of the item and the words around covers
     similarity of the item, or loose of it and the item's answer (at least three words) stands there in one run.
 
     Null and empty texts hold nothing; items without words are passed over, as is a null item_id's name (it comes back
@@ -256,12 +332,12 @@ def _block(docs: DataFrame, items: Items, similarity: float, loose: float, least
     encoded = cut(encode(docs, items), "encoded")
     if (parts := spark.sparkContext.defaultParallelism) > encoded.rdd.getNumPartitions():
         encoded = encoded.repartition(parts)  # a small table, which would be read by too few tasks
-    weights = idf(encoded, len(items.terms))
+    weights, passages = idf(encoded, len(items.terms))
     space = (weights[:, None] * latent(encoded, weights)).astype(np.float32)
     queries = {}
     for size, own in items.windows.items():
         m = np.stack([space[items.words[i]].sum(axis=0) for i in own], axis=1)
-        queries[size] = (own, m / np.maximum(np.linalg.norm(m, axis=0), 1e-9))
+        queries[size] = (own, m / np.maximum(np.linalg.norm(m, axis=0), 1e-9), Rare(items, own, passages, similarity, loose))
     shared = spark.sparkContext.broadcast((items, weights, space, queries))
 
     def run(batches):

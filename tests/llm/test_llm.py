@@ -379,3 +379,16 @@ def test_lcs():
             for j in range(len(b)):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
         assert decontam.lcs(a, b) == t[-1, -1]
+
+
+def test_decontamination_of_common_items(spark):
+    """An item in very many documents, whose words are thereby common, is found in all of them, also with words changed."""
+    rng = np.random.default_rng(12)
+    hot = words(rng, 36, 400, "abcdefghijklmnop")
+    rare = [words(rng, 30, 400, "abcdefghijklmnop") for _ in range(5)]
+    changed = hot.split()
+    changed[::6] = ["changed"] * len(changed[::6])
+    texts = [f"{words(rng, 30, 400)} {' '.join(changed) if i % 3 == 0 else hot} {words(rng, 30, 400)}" for i in range(120)]
+    texts += [f"{words(rng, 20, 400)} {x}" for x in rare] + [words(rng, 80, 400) for _ in range(60)]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame([*enumerate([hot, *rare])], "item_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(120)} | {(120 + i, 1 + i) for i in range(5)}
