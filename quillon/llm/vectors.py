@@ -22,13 +22,18 @@ def _valid(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def bits_for(rows: int, window: int) -> int:
+    """So many leading bits tell all rows down to a window's worth of them, if they spread evenly."""
+    return min(BITS, max(0, math.ceil(math.log2(max(rows, 1) / window))))
+
+
 def passes_for(rows: int, threshold: float, window: int, recall: float) -> int:
-    """So many passes that a pair at the threshold itself is met with this probability.
+    """So many passes that a pair at the threshold itself agrees in all bits of bits_for in one, with this probability.
 
-    A bit differs with probability angle / pi. Two vectors are within a window when the bits agree that tell all rows
-    down to a window's worth of them.
+    A bit differs with probability angle / pi. Vectors that agree in these bits share a bucket, and all pairs of a bucket
+    are compared: by the windows, or in blocks where more rows share it than a window spans.
     """
-    agree = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(rows, 1) / window))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits_for(rows, window)
     return max(4, math.ceil(math.log(1 - recall) / math.log(max(1 - agree, 1e-12)))) if agree < 1 else 4
 
 
@@ -49,24 +54,32 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def window_links(distinct: DataFrame, passes: int, threshold: float, window: int, seed: int) -> DataFrame:
-    """(a, b) verified links that join up what the windows of all passes show; at most one a vector and pass."""
+def _hashed(distinct: DataFrame, passes: int, seed: int, bits: int = BITS, wire: type | None = None) -> DataFrame:
+    """(pass, dim, key, node) of every vector and pass, key being its leading bits; with the vector's bytes v if wire is given."""
 
     def spread(batches):
         planes: dict[int, np.ndarray] = {}
-        power = (1 << np.arange(BITS, dtype=np.int64))[::-1]
+        power = (1 << np.arange(bits, dtype=np.int64))[::-1]
         for batch in batches:
             nodes, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             sizes = np.array([len(v) for v in raw])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 x = np.array([raw[i] for i in own], np.float64)
-                packed = [v.tobytes() for v in x]
+                packed = [v.tobytes() for v in x.astype(wire)] if wire else None
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), passes * BITS))
                 for p in range(passes):
-                    key = ((x @ planes[size][:, p * BITS : (p + 1) * BITS]) > 0) @ power
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p, np.int32)), pa.array(np.full(len(own), size, np.int32)), pa.array(key), pa.array(nodes[own]), pa.array(packed, pa.binary())], ["pass", "dim", "key", "node", "v"])
+                    key = ((x @ planes[size][:, p * BITS : p * BITS + bits]) > 0) @ power
+                    out = [pa.array(np.full(len(own), p, np.int32)), pa.array(np.full(len(own), size, np.int32)), pa.array(key), pa.array(nodes[own])]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(packed, pa.binary())] if wire else out, ["pass", "dim", "key", "node", "v"][: 5 if wire else 4])
+
+    return distinct.select("node", "embedding").mapInArrow(spread, "pass int, dim int, key long, node long" + (", v binary" if wire else ""))
+
+
+def window_links(distinct: DataFrame, passes: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """(a, b) verified links that join up what the windows of all passes show; at most one a vector and pass."""
+    wire = np.float32 if distinct.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def compare(batches):
         held = None
@@ -79,7 +92,7 @@ def window_links(distinct: DataFrame, passes: int, threshold: float, window: int
             out_a, out_b = [], []
             for t in np.unique(tag):
                 own = np.flatnonzero(tag == t)
-                x = np.frombuffer(b"".join(raw[i] for i in own), np.float64).reshape(len(own), -1)
+                x = np.frombuffer(b"".join(raw[i] for i in own), wire).astype(np.float64).reshape(len(own), -1)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 a, b = [], []
                 for off in range(1, min(window, len(own) - 1) + 1):
@@ -98,11 +111,66 @@ def window_links(distinct: DataFrame, passes: int, threshold: float, window: int
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    sent = distinct.select("node", "embedding").mapInArrow(spread, "pass int, dim int, key long, node long, v binary")
+    sent = _hashed(distinct, passes, seed, wire=wire)
     keys = ["pass", "dim", "key", "node"]
     return sent.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long").distinct()
 
 
+def crowded_links(distinct: DataFrame, rows: int, passes: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """(a, b) verified links that join up what the buckets show which have more rows than a window spans.
+
+    There the next window rows are but a part of a vector's bucket (a large group of copies of one vector may link to it
+    and hardly to each other), so all rows of the bucket meet, in chunks as in _counts: quadratic in a bucket's rows.
+    """
+    keys, group = ["pass", "dim", "key"], ["pass", "dim", "key", "i", "j"]
+    light = cut(_hashed(distinct.where(F.col("node").isNotNull()), passes, seed, bits_for(rows, window)), "buckets")
+    sizes = light.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > window + 1)
+    sizes = cut(sizes.withColumn("chunks", F.expr(f"cast(ceil(rows / {BLOCK}) as long)")), "crowded")
+    met = join_hot(light, sizes, keys, "rows", rows * passes).withColumn("x", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    sent = met.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    sent = sent.select(*keys, F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("right"), "node")
+
+    def one(parts):
+        """Links of one group, of which parts are (right, nodes, vectors)."""
+        right, nodes, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        order = np.argsort(nodes, kind="stable")
+        right, nodes, x = right[order], nodes[order], x[order]
+        if right.any():
+            p, q = np.flatnonzero(~right), np.flatnonzero(right)
+            a, b = np.nonzero(x[p] @ x[q].T >= threshold)
+            a, b = p[a], q[b]
+        else:
+            a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+        root = _forest(a, b, len(nodes))
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[linked], nodes[root[linked]]
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            tags = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)], axis=1)
+            if not len(tags):
+                continue
+            right, nodes = batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_numpy()
+            values, offsets = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
+            cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(axis=1)) + 1).tolist(), len(tags)]
+            done = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(tags[a].tolist())
+                if now != key:
+                    done += [one(parts)] if parts else []
+                    key, parts = now, []
+                parts.append((right[a:b], nodes[a:b], values[offsets[a] : offsets[b]].astype(np.float64).reshape(b - a, -1)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done, strict=True)], ["a", "b"])
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in one(parts)], ["a", "b"])
+
+    full = sent.join(distinct.select("node", "embedding"), "node").select(*group, "right", "node", "embedding")
+    return full.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
+
+
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(k1, k2, links) for members (root, chunks, k1, k2, n, embedding): every vector against every other of its component.
 
@@ -158,7 +226,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = 3
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
 
     Rows with equal vectors are collapsed first. Each pass orders the distinct vectors by 63 random hyperplane bits and
-    compares each with the next window ones; there are as many passes as a pair at the threshold needs to be met with
+    compares each with the next window ones, and where more rows share their leading bits than a window spans, all of
+    these with each other; there are as many passes as a pair at the threshold needs to be met with
     probability recall, so their number grows with the logarithm of the rows. Verified pairs (cosine in double precision)
     are united over all passes. Then all links inside each component are counted, whatever the windows showed, so
     n_links has no cap.
@@ -174,7 +243,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = 3
     distinct = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("embedding"))
     distinct = cut(distinct, "vectors")
     rows = distinct.count()
-    links = window_links(distinct, passes_for(rows, threshold, window, recall), threshold, window, seed)
+    passes = passes_for(rows, threshold, window, recall)
+    links = window_links(distinct, passes, threshold, window, seed).unionByName(crowded_links(distinct, rows, passes, threshold, window, seed))
     roots = components(links, "a", "b")
     members = cut(distinct.join(roots, "node"), "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.expr(f"ceil(count(1) / {BLOCK})").alias("chunks"))

@@ -264,6 +264,24 @@ def test_embeddings(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_embeddings_of_a_crowded_star(spark):
+    """Many copies that link to one vector and hardly to each other: what brute force links is found, but for the recall at the threshold."""
+    rng = np.random.default_rng(13)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base, far = unit(rng.standard_normal(64)), unit(rng.standard_normal((2000, 64)))
+    off = rng.standard_normal((2000, 64))
+    off = unit(off - (off @ base)[:, None] * base)
+    x = np.vstack((base[None], 0.955 * base + np.sqrt(1 - 0.955**2) * off, far)).astype(np.float32)
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)).collect()}
+    u = unit(x.astype(float))
+    links = (u @ u.T >= 0.95).sum(1) - 1
+    linked = np.flatnonzero(links)
+    assert len(linked) == 2001 and len(got) == len(x)
+    assert np.mean([got[i].component_id == 0 for i in linked]) >= 0.99 and got[0].n_links >= 0.99 * links[0]
+    assert sum(got[i].n_links for i in linked) >= 0.99 * links.sum()
+    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(len(x)) if not links[i])
+
+
 # language ID
 
 
