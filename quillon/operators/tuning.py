@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,3 +50,15 @@ def greedy_selection(groups: list[tuple[int, list[str]]], budget: int) -> list[i
             taken |= new
             out.append(key)
     return out
+
+
+def greedy_taken(groups: Iterable[tuple[int, list[str]]], budget: int) -> dict[str, int]:
+    """The articles that greedy_selection takes, and the question each is taken for; groups are read until the budget is spent."""
+    taken: dict[str, int] = {}
+    for key, slugs in groups:
+        new = set(slugs) - taken.keys()
+        if len(taken) + len(new) <= budget:
+            taken |= dict.fromkeys(new, key)
+            if len(taken) == budget:
+                break
+    return taken

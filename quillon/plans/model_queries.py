@@ -57,9 +57,16 @@ def pairwise_ranker(t: Tables) -> DataFrame:
 
 @query()
 def greedy_articles(t: Tables) -> DataFrame:
-    """Questions in order that fit a budget of distinct articles; sequential by nature, over a report-sized list."""
-    groups = t.orders.where("o_orderkey <= 2000").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("s")).orderBy("o_orderkey").collect()
-    return t.spark.createDataFrame([(k,) for k in tuning.greedy_selection([(g.o_orderkey, g.s) for g in groups], 60)], "question long")
+    """Questions in order that fit a budget of distinct articles: those whose articles are all taken by their turn.
+
+    Only what is taken is found in sequence, streamed in order until the budget is spent.
+    """
+    lines = t.orders.select("o_orderkey").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_suppkey").cast("string").alias("s"))
+    groups = lines.groupBy("o_orderkey").agg(F.collect_set("s").alias("s")).orderBy("o_orderkey")
+    taken = tuning.greedy_taken(((g.o_orderkey, g.s) for g in groups.toLocalIterator()), 60)
+    by = t.spark.createDataFrame(list(taken.items()), "s string, since long")
+    late = F.col("s").isNotNull() & (F.col("since").isNull() | (F.col("since") > F.col("o_orderkey")))
+    return lines.join(F.broadcast(by), "s", "left").groupBy("o_orderkey").agg(F.count_if(late).alias("late")).where("late = 0").select(F.col("o_orderkey").alias("question"))
 
 
 @query()

@@ -142,3 +142,19 @@ def test_stream_ingests_once(spark, tmp_path):
         ingest.ingest_once(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         docs.write.mode("append").parquet(str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "out/chunks")).count() == 2
+
+
+def test_greedy_articles_considers_every_order(spark, tmp_path):
+    from quillon import catalog
+    from quillon.operators import tuning
+
+    rng = np.random.default_rng(14)
+    lines = [(k, int(s)) for k in range(1, 4001, 13) for s in rng.integers(1, 90, rng.integers(1, 5))]
+    spark.createDataFrame([(k,) for k in sorted({k for k, _ in lines})], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    groups = {}
+    for k, s in lines:
+        groups.setdefault(k, []).append(str(s))
+    want = tuning.greedy_selection(sorted(groups.items()), 60)
+    assert max(want) > 2000
+    assert sorted(r.question for r in catalog.queries()["greedy_articles"](spark, str(tmp_path)).collect()) == want
