@@ -141,10 +141,10 @@ def collapsed(tree: DataFrame, queries: DataFrame, k: int, budget: int = 3500) -
 
 
 def traverse(tree: DataFrame, queries: DataFrame, k: int, layers: int) -> DataFrame:
-    """(query_id, id, layer): the k nearest of the top layer, then of their children, down to the leaves."""
-    top = tree.agg(F.max("layer")).first()[0] or 0
-    known = vector_search.top_k(tree.select("id", "vector"), queries, None).select("query_id", "id", "score").join(tree.select("id", "layer", "children"), "id")
-    now = known.where(F.col("layer") == top)
+    """(query_id, id, layer): the k nearest of the top layers of all groups, then of their children, down to the leaves."""
+    tops = tree.groupBy("group").agg(F.max("layer").alias("top"))
+    known = vector_search.top_k(tree.select("id", "vector"), queries, None).select("query_id", "id", "score").join(tree.join(tops, "group").select("id", "layer", "children", "top"), "id")
+    now = known.where(F.col("layer") == F.col("top"))
     out = None
     from quillon.operators import fusion
 

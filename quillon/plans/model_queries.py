@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.catalog import Tables, query
 from quillon.functions import models as M
 from quillon.functions import text as T
 from quillon.operators import cluster as C
+from quillon.operators import segment as S
 from quillon.operators import tuning
 from quillon.plans.lexical_queries import questions as asked
 from quillon.plans.runlog_queries import rounded
@@ -26,10 +27,16 @@ def mixture_clusters(t: Tables) -> DataFrame:
 
 
 def tree(t: Tables) -> DataFrame:
-    leaves = t.documents.where("length(text) < 1500").select((F.col("doc_id") % 4).alias("group"), F.col("doc_id").alias("id"), "text", M.encode(F.col("text")).cast("array<double>").alias("vector"))
+    """A tree for each document over all its chunks; keys name nodes across documents."""
+    leaves = S.word_chunks(t.documents, 200).select(F.col("doc_id").alias("group"), F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no")).cast("long").alias("id"), "text", M.encode(F.col("text")).cast("array<double>").alias("vector"))
     return C.build_tree(leaves, M.summarize, M.hashed_vector)
 
 
+def keyed(nodes: DataFrame) -> DataFrame:
+    """Nodes whose id and children are keys over all documents."""
+    return nodes.withColumns({"id": F.xxhash64("group", "id"), "children": F.transform("children", lambda c: F.xxhash64("group", c))})
+
+
 @query()
 def summary_tree(t: Tables) -> DataFrame:
     return tree(t).select("group", "id", "layer", F.size("children").alias("children"), F.length("text").alias("n_chars"))
@@ -37,15 +44,14 @@ def summary_tree(t: Tables) -> DataFrame:
 
 @query()
 def collapsed_tree(t: Tables) -> DataFrame:
-    own = tree(t).where("group = 0")
     q = asked(t).select(F.col("query_id").alias("id"), M.encode(F.col("text")).alias("vector"))
-    return rounded(C.collapsed(own, q, 10, 600).select("query_id", "id", "layer", "rank"))
+    return rounded(C.collapsed(keyed(tree(t)), q, 10, 600).select("query_id", "id", "layer", "rank"))
 
 
 @query()
 def tree_traversal(t: Tables) -> DataFrame:
     q = asked(t).select(F.col("query_id").alias("id"), M.encode(F.col("text")).alias("vector"))
-    return C.traverse(tree(t).where("group = 0"), q, 5, 3)
+    return C.traverse(keyed(tree(t)), q, 5, 3)
 
 
 @query()

@@ -158,3 +158,20 @@ def test_greedy_articles_considers_every_order(spark, tmp_path):
     want = tuning.greedy_selection(sorted(groups.items()), 60)
     assert max(want) > 2000
     assert sorted(r.question for r in catalog.queries()["greedy_articles"](spark, str(tmp_path)).collect()) == want
+
+
+def test_trees_hold_every_document(spark, tmp_path):
+    from quillon import catalog
+
+    texts = {i: " ".join(f"w{i}x{j % 97}" for j in range(n)) for i, n in enumerate((5, 300, 900, 2600, 3000))}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*texts.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path))
+    nodes = run("summary_tree").withColumn("key", F.xxhash64("group", "id")).collect()
+    assert {i: sum(n.group == i and n.layer == 0 for n in nodes) for i in texts} == {0: 1, 1: 2, 2: 5, 3: 13, 4: 15}
+    assert {n.group for n in nodes if n.layer > 0} == {3, 4}
+    groups = {n.key: n.group for n in nodes}
+    for name in ("collapsed_tree", "tree_traversal"):
+        found = {(r.query_id, groups[r.id]) for r in run(name).collect()}
+        assert {(i, i) for i in texts} <= found, name
+    assert {groups[r.id] for r in run("tree_traversal").where("layer = 0").collect()} == set(texts)
