@@ -16,42 +16,70 @@ BLANKS = " \t\n\x0b\f\r"
 HOT_PARTS = 16384
 #: Nor is any key hot that has fewer rows.
 HOT_ROWS = 1000
+#: A set of so many numbers may be broadcast.
+SMALL = 1_000_000
+#: Most rows and bytes of an Arrow batch.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (as in tests)."""
+    """This application's folder inside the one that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a session whose executors are this machine's (as in tests) gets a temporary folder; a cluster
+    must name one.
+    """
+    app = spark.sparkContext.applicationId
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quillon-")
         base = _own[app]
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/quillon-{app}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: no lineage, and no loss with an executor."""
+    """Write df to the shared folder and read it back: no lineage, and no loss with an executor.
+
+    forget() deletes one such table once nothing reads it, clear() all of the session's.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}-{label}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}-{label}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._quillon_path = path
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what cut() wrote, once nothing reads it any more."""
-    path = getattr(df, "_quillon_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete what cut() wrote, once nothing reads it any more; other tables are passed over."""
+    for df in tables:
+        if path := getattr(df, "_quillon_path", None):
+            _delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches: whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def clear(spark: SparkSession) -> None:
+    """Delete all that cut() wrote in this session. Results are lazy: write them first."""
+    _delete(spark, shared_dir(spark))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session in rows and bytes, since whole texts can be long.
+
+    All operators set the same bounds and never raise those that are set, so it does not matter which of them is built
+    last before a lazy plan runs.
+    """
+    for key, most in ARROW.items():
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -81,6 +109,12 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], count: str, tota
     return hot.unionByName(cold)
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in gone (null keys stay). gone is broadcast if it has at most SMALL keys, so wide rows need no shuffle."""
+    gone = cut(gone.select(key).where(F.col(key).isNotNull()).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= SMALL else gone, key, "left_anti")
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else.
 

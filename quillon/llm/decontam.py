@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, cut, small_batches
+from .common import WORDS, cut, bound_batches
 
 #: Benchmark items are taken in blocks of so many, which bounds what is broadcast.
 ITEMS = 2000
@@ -59,7 +59,7 @@ class Items:
 
 def encode(docs: DataFrame, items: Items) -> DataFrame:
     """(doc_id, n_words, places, terms): where each document has terms of the items, as little-endian int32."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(items.terms)
 
     def run(batches):

@@ -7,14 +7,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordIndex, cut, small_batches, sum_runs
+from .common import LETTERS, WordIndex, bound_batches, cut, forget, sum_runs
 
-#: The longest n-gram; marks of a word's two ends; bits of a hash, which bound a model: at most 2^BITS entries a language and order.
-ORDER, START, END, BITS = 4, "\x02", "\x03", 20
-_PRIME, _GOLD = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
+#: The longest n-gram, and marks of a word's two ends.
+ORDER, START, END = 4, "\x02", "\x03"
+#: Languages are modelled and scored together while their n-grams of all orders are at most so many, which bounds what the
+#: driver holds and what is broadcast (about 20 bytes each); the others follow in further passes over the texts.
+ENTRIES = 1 << 23
+#: One in so many teaching texts (by hash) is kept apart for the scores and limits.
+APART = 5
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -25,13 +31,14 @@ def _letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def slots(points: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams, given as rows of code points."""
+def hashes(points: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, given as rows of code points."""
     h = np.zeros(len(points), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(points.shape[1]):
-            h = h * _PRIME + points[:, j].astype(np.uint64) + np.uint64(1)
-        return ((h * _GOLD) >> np.uint64(64 - BITS)).astype(np.int64)
+            h = (h + points[:, j].astype(np.uint64) + np.uint64(1)) * _GOLD
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
 
 
 def _points(grams: list[str]) -> np.ndarray:
@@ -40,70 +47,88 @@ def _points(grams: list[str]) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each language's words show each character after its up to ORDER - 1 predecessors."""
+    """(lang, apart, gram, n): how often each language's words show each character after its up to ORDER - 1 predecessors.
+
+    docs: lang, apart (whether a text is kept apart) and text.
+    """
+    kinds = pa.schema([("lang", pa.string()), ("apart", pa.bool_()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        words: dict[str, Counter] = {}
+        words: dict[tuple[str, bool], Counter] = {}
 
         def grams():
-            rows: dict[tuple[str, str], int] = Counter()
-            for lang, counts in words.items():
+            rows: dict[tuple, int] = Counter()
+            for key, counts in words.items():
                 for word, n in counts.items():
                     if word := _letters(word):
                         marked = START + word + END
                         for i in range(1, len(marked)):
-                            rows[lang, marked[max(0, i - ORDER + 1) : i + 1]] += n
+                            rows[*key, marked[max(0, i - ORDER + 1) : i + 1]] += n
             words.clear()
-            return pa.RecordBatch.from_pydict({"lang": [k[0] for k in rows], "gram": [k[1] for k in rows], "n": list(rows.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in rows], f.type) for i, f in enumerate(list(kinds)[:3])), pa.array(rows.values(), pa.int64())], schema=kinds)
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text))
+            for lang, apart, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words.setdefault((lang, apart), Counter()).update(words_of(text))
             if sum(map(len, words.values())) > 200_000:
                 yield grams()
         yield grams()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "apart", "text").mapInArrow(run, "lang string, apart boolean, gram string, n long").groupBy("lang", "apart", "gram").agg(F.sum("n").alias("n"))
 
 
-class Models:
-    """All languages' models. Each order has sorted hashes and, by language, interpolated log probabilities and back-off weights."""
+class Model:
+    """One language's model: for each order, sorted hashes of n-grams with interpolated log probabilities, and of contexts with back-off weights."""
 
-    def __init__(self, langs: list[str], levels: list[dict[str, np.ndarray]], alphabet: int):
-        """levels[n - 1]: arrays lang, slot, n, context (slot), suffix (slot) of the n-grams' hashed counts."""
-        self.langs, width = langs, len(langs)
+    def __init__(self, levels: list[dict[str, np.ndarray]], alphabet: int):
+        """levels[n - 1]: arrays gram, n, context and suffix (hashes) of the n-grams' counts."""
         self.keys, self.logp, self.contexts, self.logw = [], [], [], []
-        self.floor = np.zeros(width, np.float32)  # what an unknown character costs at the bottom
+        self.floor = np.float32(0)  # what an unknown character costs at the bottom
         for order, level in enumerate(levels, 1):
-            keys, at = np.unique(level["slot"], return_inverse=True)
-            above, up = np.unique(level["context"], return_inverse=True)
-            lang, n = level["lang"], level["n"].astype(np.float64)
-            total, kinds = np.zeros((len(above), width)), np.zeros((len(above), width))
-            np.add.at(total, (up, lang), n)
-            np.add.at(kinds, (up, lang), 1)
-            ones, twos = (np.bincount(lang[level["n"] == k], minlength=width) for k in (1, 2))
-            discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.9)
-            weight = np.where(total > 0, discount * np.maximum(kinds, 1) / np.maximum(total, 1), 1.0)
-            weight = np.minimum(weight, 1.0)
-            if order == 1:
-                lower = np.full(len(n), 1.0 / (alphabet + 1))
-            else:
-                lower = np.exp(self._at(order - 1, level["suffix"], lang))
-            p = np.maximum(n - discount[lang], 0) / total[up, lang] + weight[up, lang] * lower
-            table = np.full((len(keys), width), np.nan, np.float32)
-            table[at, lang] = np.log(p)
-            self.keys.append(keys)
-            self.logp.append(table)
+            at = np.argsort(level["gram"])
+            n = level["n"][at].astype(np.float64)
+            above, up, kinds = np.unique(level["context"][at], return_inverse=True, return_counts=True)
+            total = np.bincount(up, n, len(above))
+            ones, twos = (n == 1).sum(), (n == 2).sum()
+            discount = np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.9)
+            weight = np.minimum(discount * kinds / np.maximum(total, 1), 1.0)
+            lower = np.full(len(n), 1.0 / (alphabet + 1)) if order == 1 else np.exp(self._at(order - 1, level["suffix"][at]))
+            self.keys.append(level["gram"][at])
+            self.logp.append(np.log(np.maximum(n - discount, 0) / total[up] + weight[up] * lower).astype(np.float32))
             self.contexts.append(above)
             self.logw.append(np.log(weight).astype(np.float32))
             if order == 1 and len(above):
-                self.floor = (self.logw[0][0] - np.log(alphabet + 1)).astype(np.float32)
+                self.floor = np.float32(self.logw[0][0] - np.log(alphabet + 1))
 
-    def _at(self, order: int, slot: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        keys = self.keys[order - 1]
-        i = np.minimum(np.searchsorted(keys, slot), len(keys) - 1)
-        got = self.logp[order - 1][i, lang]
-        return np.where((keys[i] == slot) & ~np.isnan(got), got, self.floor[lang])
+    @staticmethod
+    def _find(keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+        return i, keys[i] == hashed
+
+    def _at(self, order: int, gram: np.ndarray) -> np.ndarray:
+        i, known = self._find(self.keys[order - 1], gram)
+        return np.where(known, self.logp[order - 1][i], self.floor)
+
+    def score(self, size: int, orders: list[tuple]) -> np.ndarray:
+        """Log probabilities of size events; orders: for each order, which events have so long a past, and their n-grams' and contexts' hashes."""
+        out = np.full(size, self.floor, np.float64)
+        for order, (on, gram, context) in enumerate(orders, 1):
+            if not len(on) or not len(self.keys[order - 1]):
+                continue
+            back = out[on]
+            if order > 1:
+                i, known = self._find(self.contexts[order - 1], context)
+                back = back + np.where(known, self.logw[order - 1][i], 0)
+            i, known = self._find(self.keys[order - 1], gram)
+            out[on] = np.where(known, self.logp[order - 1][i], back)
+        return out
+
+
+class Models:
+    """The models of some languages."""
+
+    def __init__(self, langs: list[str], models: list[Model]):
+        self.langs, self.models = langs, models
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word under each language, and its events (letters and the end)."""
@@ -113,67 +138,78 @@ class Models:
         real = sizes[sizes > 0]
         own = np.arange(real.sum()) + np.repeat(np.arange(1, len(real) + 1) * (ORDER - 1), real)  # where the events are
         past = np.arange(real.sum()) - np.repeat(np.cumsum(real) - real, real) + 1  # characters before each, with one start
-        out = np.repeat(self.floor[None, :], len(own), axis=0)
-        for order in range(1, len(self.keys) + 1):
+        orders = []
+        for order in range(1, ORDER + 1):
             on = np.flatnonzero(past >= order - 1)
-            if not len(on) or not len(self.keys[order - 1]):
-                continue
             points = flat[own[on][:, None] + np.arange(1 - order, 1)]
-            keys, gram = self.keys[order - 1], slots(points)
-            i = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-            p = np.where((keys[i] == gram)[:, None], self.logp[order - 1][i], np.nan)
-            if order > 1:
-                above, context = self.contexts[order - 1], slots(points[:, :-1])
-                i = np.minimum(np.searchsorted(above, context), len(above) - 1)
-                back = np.where((above[i] == context)[:, None], self.logw[order - 1][i], 0) + out[on]
-            else:
-                back = out[on]
-            out[on] = np.where(np.isnan(p), back, p)
+            orders.append((on, hashes(points), hashes(points[:, :-1])))
+        out = np.stack([m.score(len(own), orders) for m in self.models], axis=1) if self.models else np.zeros((len(own), 0))
         return sum_runs(out, sizes), sizes
 
 
-def fit(docs: DataFrame) -> Models:
-    """Models from all of docs (lang, text). Counts of every order are made by Spark; hashed, they come to a bounded table."""
-    spark = docs.sparkSession
-    top = cut(gram_counts(docs), "grams")
-    langs = sorted(r.lang for r in top.select("lang").distinct().collect())
-    letters = top.select(F.substring("gram", -1, 1)).distinct().count()
+def fit(counts: DataFrame) -> list[Models]:
+    """Models from all n-grams counted (lang, gram, n), in blocks of languages. Counts of every order are made by Spark."""
+    letters = counts.select(F.substring("gram", -1, 1)).distinct().count()
 
     def hashed(batches):
         for batch in batches:
-            grams = batch.column(1).to_pylist()
-            if not grams:
-                continue
-            points = _points(grams)
-            n = points.shape[1]
-            context = slots(points[:, :-1]) if n > 1 else np.zeros(len(grams), np.int64)
-            suffix = slots(points[:, 1:]) if n > 1 else np.zeros(len(grams), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots(points)), pa.array(context), pa.array(suffix), batch.column(2)], ["lang", "slot", "context", "suffix", "n"])
+            if grams := batch.column(1).to_pylist():
+                points = _points(grams)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(hashes(x)) for x in (points, points[:, :-1], points[:, 1:])), batch.column(2)], ["lang", "gram", "context", "suffix", "n"])
 
-    levels, grams = [], top.where(F.length("gram") == ORDER)
+    levels, below, grams = [], [], counts.where(F.length("gram") == ORDER)
     for order in range(ORDER, 0, -1):
-        table = grams.mapInArrow(hashed, "lang string, slot long, context long, suffix long, n long")
-        got = table.groupBy("lang", "slot").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")).toArrow()
-        level = {c: got[c].to_numpy() for c in ("slot", "n", "context", "suffix")}
-        level["lang"] = np.array([langs.index(x) for x in got["lang"].to_pylist()], np.int64)
-        levels.append(level)
+        grams = grams.select("lang", "gram", "n")
+        levels.insert(0, cut(grams.mapInArrow(hashed, "lang string, gram long, context long, suffix long, n long"), f"level{order}"))
         if order > 1:  # below the top, a gram counts the different characters it follows, but at a word's start its uses
-            grams = grams.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")).unionByName(top.where(F.length("gram") == order - 1))
+            grams = grams.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")).unionByName(counts.where(F.length("gram") == order - 1).select("lang", "gram", "n"))
             grams = cut(grams, f"grams{order - 1}")
-    return Models(langs, levels[::-1], letters)
+            below.append(grams)
+    sizes: Counter = Counter()
+    for level in levels:
+        sizes.update({r.lang: r.n for r in level.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})  # a row a language
+    blocks: list[list[str]] = []
+    room = 0
+    for lang in sorted(sizes):
+        if sizes[lang] > room:
+            blocks.append([])
+            room = ENTRIES
+        blocks[-1].append(lang)
+        room -= sizes[lang]
+    out = []
+    for langs in blocks:
+        tables = [level.where(F.col("lang").isin(langs)).toArrow() for level in levels]
+        own = []
+        for lang in langs:
+            rows = [t.filter(pc.equal(t["lang"], lang)) for t in tables]
+            own.append(Model([{c: t[c].to_numpy() for c in ("gram", "n", "context", "suffix")} for t in rows], letters))
+        out.append(Models(langs, own))
+    forget(*levels, *below)
+    return out
+
+
+def entropies(docs: DataFrame, blocks: list[Models]) -> DataFrame:
+    """docs' row (a struct of all its columns), best (language), own and next (its and the second best's nats an event), events.
+
+    best is null without letters. The whole text is carried along, so nothing has to be joined to it; each block of
+    models is a pass over the texts, which keeps the best of all so far.
+    """
+    bound_batches(docs.sparkSession)
+    none = F.lit(None)
+    rows = docs.select(F.struct("*").alias("row"), none.cast("string").alias("best"), none.cast("double").alias("own"), none.cast("double").alias("next"), F.lit(0).cast("long").alias("events"))
+    for models in blocks:
+        rows = _scored(rows, models)
+    return rows.withColumn("next", F.coalesce("next", F.col("own") + 1))
 
 
-def entropies(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
-    """keep, and best (language), own and next (its and the second best's nats an event), events; best is null without letters."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    width = len(models.langs)
+def _scored(rows: DataFrame, models: Models) -> DataFrame:
+    shared, width = rows.sparkSession.sparkContext.broadcast(models), len(models.langs)
 
     def run(batches):
         models, words = shared.value, WordIndex()
         scores, sizes = np.zeros((0, width)), np.zeros(0, np.int64)
         for batch in batches:
-            split = [words_of(t) for t in batch.column(0).to_pylist()]
+            split = [words_of(t) for t in batch.column("row").field("text").to_pylist()]
             n = words.numbers([w for own in split for w in own])
             if words.fresh:
                 more = models.score(words.fresh)
@@ -181,68 +217,66 @@ def entropies(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
                 words.fresh.clear()
             lengths = np.array([len(x) for x in split], np.int64)
             events = sum_runs(sizes[n], lengths).astype(np.int64)
-            each = -sum_runs(scores[n], lengths) / np.maximum(events, 1)[:, None] if width else np.zeros((len(split), 1))
+            each = -sum_runs(scores[n], lengths) / np.maximum(events, 1)[:, None]
+            before = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("own", "next")]
+            each = np.column_stack((*(np.where(np.isnan(x), np.inf, x) for x in before), each))  # of equals, the first language counts
             order = np.argsort(each, axis=1, kind="stable")
-            own = np.take_along_axis(each, order[:, :1], 1)[:, 0]
-            second = np.take_along_axis(each, order[:, 1:2], 1)[:, 0] if width > 1 else own + 1
-            best = [models.langs[i] if e and width else None for i, e in zip(order[:, 0], events, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(best, pa.string()), pa.array(own), pa.array(second), pa.array(events)], [*keep, "best", "own", "next", "events"])
+            two = np.take_along_axis(each, order[:, :2], 1)
+            best = [None if not e else old if i == 0 else models.langs[i - 2] for i, e, old in zip(order[:, 0], events, batch.column("best").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(best, pa.string()), *(pa.array(x, mask=np.isinf(x)) for x in two.T), pa.array(events)], names)
             if words.full:
                 words.clear()
                 scores, sizes = scores[:0], sizes[:0]
 
-    types = ", ".join(f"{c} {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(F.col("text").cast("string"), *keep).mapInArrow(run, f"{types}, best string, own double, next double, events long")
+    names = rows.columns
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _bin() -> Column:
     return F.least(F.lit(63), F.floor(F.log2(1 + (F.col("next") - F.col("own")) * F.col("events")) * 4)).cast("int")
 
 
-def verdicts(docs: DataFrame, train: Column | None = None) -> DataFrame:
-    """(doc_id, text_hash, held_out, lang_pred, score, rejected) for every row of docs.
+def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
+    """docs with held_out, lang_pred, score and rejected; columns of these names are replaced.
 
     train says which rows may teach (by default those whose crc32(doc_id) mod 5 is not 0); of these, text and non-null
     lang do. The prediction is the language with the lowest cross-entropy a character over the whole text. score is how
-    often predictions with such a lead over the second language are right, over all teaching rows (smoothed, never
-    falling with the lead). rejected: no prediction, or a cross-entropy over the limit of its language, which is the mean
-    of the language's teaching rows plus six deviations, or halfway to what characters drawn evenly would have if that is
-    more, with four standard errors of slack for short texts.
+    often predictions with such a lead over the second language are right (smoothed, never falling with the lead).
+    rejected: no prediction, or a cross-entropy over the limit of its language, which is the mean of the language's texts
+    plus six deviations, or halfway to what characters drawn evenly would have if that is more, with four standard errors
+    of slack for short texts. Scores and limits come from teaching texts kept apart, one in APART by a hash of the text
+    (so copies stay together), under models that the others taught; the models that predict are taught by all.
 
     Null texts and texts without a letter get und, score 0 and rejected. Without a teaching row all do. Repeated rows
-    count as often as they occur and are scored alike. A null doc_id is hashed as an empty one. Extra columns are not
-    read.
+    count as often as they occur and are scored alike. A null doc_id is hashed as an empty one. Other columns, of any
+    name, pass through. An empty table gives an empty one.
     """
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    teaches = train if train is not None else rest != 0
-    small_batches(docs.sparkSession)
-    models = fit(docs.where(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    keys = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash"), (~teaches).alias("held_out"))
-    scored = cut(entropies(keys, models, ["doc_id", "lang", "text_hash", "held_out"]), "entropies")
-    taught = scored.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("best").isNotNull())
+    teaches = F.coalesce(train, F.lit(False)) if train is not None else rest != 0
+    bound_batches(docs.sparkSession)
+    taught = docs.where(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    taught = taught.withColumn("apart", F.pmod(F.xxhash64("text"), F.lit(APART)) == 0)
+    counts = cut(gram_counts(taught), "grams")
+    probe = fit(counts.where(~F.col("apart")))
+    models = fit(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    apart = entropies(taught.where("apart"), probe).select(F.col("row.lang").alias("lang"), "best", "own", "next", "events").where(F.col("best").isNotNull())
+    apart = cut(apart, "apart")
+    forget(counts)
     right = F.col("lang") == F.col("best")
-    bins = {r.bin: (r.hits, r.n) for r in taught.groupBy(_bin().alias("bin")).agg(F.sum(right.cast("int")).alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
+    bins = {r.bin: (r.hits, r.n) for r in apart.groupBy(_bin().alias("bin")).agg(F.sum(right.cast("int")).alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
     curve, top = [], 0.5
     for b in range(64):
         hits, n = bins.get(b, (0, 0))
         top = max(top, (hits + 1) / (n + 2)) if n else top
         curve.append(top)
     spread = F.sqrt(F.avg(F.col("own") ** 2 * F.col("events")) - 2 * F.avg("own") * F.avg(F.col("own") * F.col("events")) + F.avg("own") ** 2 * F.avg("events"))
-    limits = []
-    for r in taught.where(right).groupBy("best").agg(F.avg("own").alias("mean"), F.stddev_pop("own").alias("dev"), spread.alias("spread")).collect():
-        even = float(-models.floor[models.langs.index(r.best)])
-        limits.append((r.best, r.mean + max(6 * (r.dev or 0.0), (even - r.mean) / 2), 0.0 if r.spread is None or r.spread != r.spread else float(r.spread)))
-    table = docs.sparkSession.createDataFrame(limits, "best string, most double, spread double")
+    limits, floors = [], {lang: float(-m.floor) for block in models for lang, m in zip(block.langs, block.models, strict=True)}
+    for r in apart.where(right).groupBy("best").agg(F.avg("own").alias("mean"), F.stddev_pop("own").alias("dev"), spread.alias("spread")).collect():
+        limits.append((r.best, r.mean + max(6 * (r.dev or 0.0), (floors[r.best] - r.mean) / 2), 0.0 if r.spread is None or r.spread != r.spread else float(r.spread)))
+    forget(apart)
+    table = docs.sparkSession.createDataFrame(limits, "best string, most double, spread double")  # a row a language
     scores = F.element_at(F.array(*[F.lit(x) for x in curve]), _bin() + 1)
     over = F.coalesce(F.col("own") > F.col("most") + 4 * F.col("spread") / F.sqrt("events"), F.lit(False))
-    return scored.join(F.broadcast(table), "best", "left").select(
-        "doc_id", "text_hash", "held_out", F.coalesce("best", F.lit("und")).alias("lang_pred"),
-        F.when(F.col("best").isNull(), 0.0).otherwise(scores).alias("score"), (F.col("best").isNull() | over).alias("rejected"))
-
-
-def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
-    """docs with lang_pred, score and rejected, as verdicts() has them; columns of these names are replaced."""
-    new = ["lang_pred", "score", "rejected"]
-    found = verdicts(docs, train).select(F.col("doc_id").alias("__quillon_id"), F.col("text_hash").alias("__quillon_hash"), *new).dropDuplicates(["__quillon_id", "__quillon_hash"])
-    own = docs.drop(*new)
-    return own.join(found, own["doc_id"].eqNullSafe(found["__quillon_id"]) & (F.xxhash64(own["text"]) == found["__quillon_hash"])).drop("__quillon_id", "__quillon_hash")
+    new = {"lang_pred": F.coalesce("best", F.lit("und")), "score": F.when(F.col("best").isNull(), 0.0).otherwise(scores), "rejected": F.col("best").isNull() | over}
+    own = entropies(docs.drop("held_out", *new), models).join(F.broadcast(table), "best", "left")
+    return own.select("row.*", *[c.alias(name) for name, c in new.items()]).withColumn("held_out", ~teaches)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, bound_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _nth long"
 #: Rust's and Python's ideas of white space differ in these.
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, w
     alone. Repeated rows are packed as often as they occur. _part and _nth number the pieces of equal length in each
     partition.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):

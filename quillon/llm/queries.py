@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, line_dedup, packing, sharding, simhash, token_counts, toxicity, vectors
 
-#: Where the public vocabulary files are.
-TOKENIZERS = os.environ.get("QUILLON_TOKENIZERS", "/opt/tokenizers")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,11 +30,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +44,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.verdicts(_table(spark, sf_dir, "documents"), _rest(5) != 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _rest(5) != 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +79,6 @@ marked as (select k.doc_id, k.pos, k.line, h.keeper is not null and h.keeper <>
 select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
-    "op5_sharding": """
-with rows_ as (select doc_id, text, source, octet_length(encode(coalesce(text, ''))) + 16 as size, md5('5|' || coalesce(cast(doc_id as varchar), '') || '|' || cast(crc as varchar)) as key, crc
-               from (select *, {crc} as crc from documents)),
-ranked as (select *, (2 * row_number() over (partition by source order by key, doc_id nulls first, size) - 1) / (2 * count(*) over (partition by source))::double as share from rows_),
-placed as (select *, row_number() over (order by share, key, doc_id nulls first, size) - 1 as at, count(*) over () as n from ranked)
-select doc_id, size, crc as text_crc32, 'rows' as law, cast(at * 40 // n as int) as shard, at - ((at * 40 // n) * n + 39) // 40 as slot, cast(null as int) as grown_shard from placed""",
     "op10_chat_formatting": """
 with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
                union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -96,12 +86,11 @@ steps as (select *, lag(role) over (partition by conv_id order by turn nulls fir
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       cast(sum(12 + length(replace(role, '<|', '<||')) + 1 + length(replace(text, '<|', '<||')) + 11) as bigint) as formatted_chars,
+       cast(sum(12 + length(replace(replace(role, '<|', '<||'), chr(10), '<|n')) + 1 + length(replace(text, '<|', '<||')) + 11) as bigint) as formatted_chars,
        bool_and(case when before is null then role in ('system', 'user') when before = 'system' then role = 'user' when before = 'user' then role = 'assistant' when before = 'assistant' then role = 'user' else false end)
          and bool_or(ends and role = 'assistant') as valid
 from steps group by conv_id""",
 }
-del SQL["op5_sharding"]  # crc32 is not in SQL; tests hold it against brute force
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, small_batches
+from .common import cut, join_hot, bound_batches
 from .components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     component has no other. An empty table gives an empty one; extra columns are not read.
     """
     own = cut(fingerprints(docs, words), "fingerprints")
-    small_batches(docs.sparkSession, 10_000)
+    bound_batches(docs.sparkSession, 10_000)
     groups = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "groups")
     roots = components(link_fingerprints(groups.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
     met = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

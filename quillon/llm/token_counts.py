@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIndex, small_batches, sum_runs
+from .common import WordIndex, bound_batches, sum_runs
 from .packing import _ODD, _SPACE
 
 #: An unknown character scores so much below the worst piece.
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, model: str, column: str = "text") -> DataFrame
     Null and empty texts have none. Repeated rows and ids give a row each; extra columns are not read. Words are counted
     once for each worker and then looked up; the lookup is bounded and emptied when full.
     """
-    small_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         counter, words, counts = Counter(vocabulary(model)), WordIndex(), np.zeros(0, np.int64)

@@ -5,11 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, common, components, decontam, langid, line_dedup, packing, sharding, simhash, token_counts, toxicity, vectors
-from quillon.llm.queries import TOKENIZERS
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -107,13 +107,26 @@ def test_chat_round_trip(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_ids_and_marks(spark):
+    """Ids beyond the doubles' whole numbers beside a null id, and roles and texts made of marks."""
+    rows = [(None, 0, "user", "n")] + [(2**53 + i, t, r, x) for i in range(2) for t, (r, x) in enumerate([("user", f"q{i}"), ("assistant", "<|n<||n\n"), ("a\nb<|\n<", "<|im_end|>\n<|im_start|>")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {None: 1, 2**53: 3, 2**53 + 1: 3}
+    for c, r in got.items():
+        own = [x for x in rows if x[0] == c]
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in own).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256("".join(x[3] for x in own if x[2] == "assistant").encode()).hexdigest()
+    assert {r.conv_id for r in chat.segments(df).collect()} == set(got)
+
+
 # packing and token counts
 
 
 def test_packing(spark):
     rng = np.random.default_rng(0)
     texts = [words(rng, int(n)) for n in rng.integers(0, 300, 120)] + [None, "", words(rng, 2500), "<|endoftext|> a", "don't STOP’s\x1cx \x85y"]
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -161,7 +174,7 @@ def test_nnls():
 def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = public_tokenizers.path("piece_bpe_32k.model")
     rng = np.random.default_rng(1)
     texts = [None, "", "  \n ", "Ünï 漢字 😀 <s> <0x0A> ▁x", "a" * 300, *[words(rng, 30, letters="etaoinshé漢") for _ in range(20)]]
     t = Tokenizer(models.Unigram(token_counts.vocabulary(model), 0, True))
@@ -264,6 +277,48 @@ def test_embeddings(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_embeddings_ids_and_norms(spark):
+    """Null and repeated ids, rows that share an id and not the vector, repeated rows, and norms whose squares overflow or vanish."""
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [-1.0, 2.0, 7.0]
+    scaled = lambda v, k: [k * x for x in v]
+    rows = [(5, a), (5, b), (3, scaled(a, 1e200)), (None, a), (7, a), (7, a), (9, scaled(b, 1e-200)), (None, c), (4, scaled(a, 5e-324)), (8, None)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, node string")
+    got = sorted(vectors.near_duplicates(df).collect(), key=str)
+    unit = lambda v: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max())
+    want = []
+    for i, v in rows:
+        near = [] if v is None else [j for j, w in rows if w is not None and unit(v) @ unit(w) >= 0.95]
+        least = min((j for j in near if j is not None), default=None) if near else i
+        want.append((i, max(0, len(near) - 1), least, i == least))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_joined_is_brute_force():
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for split in (None, 100):
+        near = x @ x.T >= 0.995
+        if split:
+            near[:split, :split] = near[split:, split:] = False
+        root = np.arange(300)
+        while True:
+            now = np.array([min([root[i], *root[near[i]]]) for i in range(300)])
+            if (now == root).all():
+                break
+            root = now
+        assert (vectors._joined(x, split, 0.995) == root).all()
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Stars whose hubs are broadcast, one of them with the greatest number, and a chain between them."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    edges = [(0, i) for i in range(1, 3000)] + [(9999, i) for i in range(4000, 5000)] + [(2999, 3500), (3500, 4000), (7000, 7001)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()}
+    assert got == {v: 7000 if v in (7000, 7001) else 0 for e in edges for v in e}
+
+
 def test_embeddings_of_a_crowded_star(spark):
     """Many copies that link to one vector and hardly to each other: what brute force links is found, but for the recall at the threshold."""
     rng = np.random.default_rng(13)
@@ -292,38 +347,81 @@ def corpora(rng, n):
 
 def test_language_id(spark):
     rng = np.random.default_rng(7)
-    pairs = corpora(rng, 40)
+    pairs = corpora(rng, 60)
     rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(pairs)] + [(900, None, "aa", "s", 0), (901, "", None, "s", 0), (902, "12 ½ --", "aa", "s", 0), (903, "жук жёлтый", None, "s", 0)]
     df = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r for r in langid.verdicts(df).collect()}
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
     held = [i for i in range(len(pairs)) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i].held_out for i in held) and np.mean([got[i].lang_pred == pairs[i][1] for i in held]) > 0.95
     assert not any(got[i].rejected for i in range(len(pairs))) and all(0 <= r.score <= 1 for r in got.values())
     assert all((got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True) for i in (900, 901, 902))
-    assert got[903].lang_pred in ("aa", "bb", "cc")
-    out = langid.identify(df.unionByName(df.where("doc_id < 3")))
-    assert out.count() == len(rows) + 3 and set(df.columns) < set(out.columns)
-    assert langid.verdicts(df.limit(0)).count() == 0
-    assert {r.lang_pred for r in langid.verdicts(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-
-
-def test_kneser_ney_by_hand():
-    """One word 'aab' twice: bigram and unigram probabilities from the definition."""
-    s, e = langid.START, langid.END
-    top = {s + "a": 2, "ab" + e: 0}
-    del top
-    grams = {2: {s + "a": 2, "aa": 1, "ab": 1, "b" + e: 1}, 1: {"a": 2, "b": 1, e: 1}}
-    levels = []
-    for n in (1, 2):
-        p = langid._points(list(grams[n]))
-        levels.append({"slot": langid.slots(p), "n": np.array(list(grams[n].values())), "context": langid.slots(p[:, :-1]) if n > 1 else np.zeros(len(p), np.int64), "suffix": langid.slots(p[:, 1:]) if n > 1 else np.zeros(len(p), np.int64), "lang": np.zeros(len(p), np.int64)})
-    m = langid.Models(["x"], levels, 3)
-    d1 = 2 / (2 + 2 * 1)
-    uni = {k: (v - d1) / 4 + d1 * 3 / 4 / 4 for k, v in grams[1].items()}
-    d2 = 3 / (3 + 2 * 1)
-    want = np.log([(2 - d2) / 2 + d2 / 2 * uni["a"], (1 - d2) / 2 + d2 * 2 / 2 * uni["a"], (1 - d2) / 2 + d2 * 2 / 2 * uni["b"], (1 - d2) / 1 + d2 * uni[e]]).sum()
-    got, events = m.score(["aab"])
-    assert events[0] == 4 and got[0, 0] == pytest.approx(want, rel=1e-5)
+    assert got[903].lang_pred in ("aa", "bb", "cc") and got[903].rejected
+    odd = df.unionByName(df.where("doc_id < 3")).unionByName(df.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({c: F.lit(c) for c in ("best", "own", "row", "next", "events", "score", "apart", "most")})
+    out = langid.identify(odd).collect()
+    assert len(out) == len(rows) + 4 and all(r.best == "best" and r.row == "row" and r.most == "most" and 0 <= r.score <= 1 for r in out)
+    assert langid.identify(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def kneser_ney(texts):
+    """Cross-entropies by the definition, from dictionaries: texts are (text, lang); gives a function of a text."""
+    counts, letters = {}, set()
+    for text, lang in texts:
+        for word in langid.words_of(text):
+            marked = langid.START + word + langid.END
+            letters |= set(marked[1:])
+            for i in range(1, len(marked)):
+                g = marked[max(0, i - 3) : i + 1]
+                counts.setdefault(lang, {}).setdefault(len(g), {}).setdefault(g, 0)
+                counts[lang][len(g)][g] += 1
+    tables = {}
+    for lang, own in counts.items():
+        level = {4: own.get(4, {})}
+        for n in (3, 2, 1):
+            level[n] = dict(own.get(n, {}))
+            for g in level[n + 1]:
+                level[n][g[1:]] = level[n].get(g[1:], 0) + 1
+        tables[lang] = level
+
+    def probability(level, g):
+        if not g:
+            return 1 / (len(letters) + 1)
+        own = level[len(g)]
+        after = [v for k, v in own.items() if k[:-1] == g[:-1]]
+        ones, twos = (sum(v == k for v in own.values()) for k in (1, 2))
+        d = min(0.9, max(0.1, ones / max(ones + 2 * twos, 1)))
+        if not after:
+            return probability(level, g[1:])
+        return max(own.get(g, 0) - (d if g in own else 0), 0) / sum(after) + min(1, d * len(after) / sum(after)) * probability(level, g[1:])
+
+    def entropy(text):
+        out = {}
+        for lang, level in tables.items():
+            each = [-np.log(probability(level, m[max(0, i - 3) : i + 1])) for w in langid.words_of(text) for m in [langid.START + w + langid.END] for i in range(1, len(m))]
+            out[lang] = np.mean(each) if each else None
+        return out
+
+    return entropy
+
+
+@pytest.mark.parametrize("entries", [1 << 23, 300])
+def test_language_models_are_brute_force(spark, monkeypatch, entries):
+    """The whole query's predictions, and the entropies behind them, from the definition; also where languages take several passes."""
+    monkeypatch.setattr(langid, "ENTRIES", entries)
+    rng = np.random.default_rng(15)
+    pairs = corpora(rng, 15) + [("zzz zz zyx", "dd"), ("é", "cc")]
+    df = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(pairs)], DOCS)
+    taught = [p for i, p in enumerate(pairs) if zlib.crc32(str(i).encode()) % 5]
+    entropy = kneser_ney(taught)
+    counts = langid.gram_counts(spark.createDataFrame(taught, "text string, lang string").withColumn("apart", F.lit(False)))
+    blocks = langid.fit(counts)
+    assert len(blocks) == (1 if entries > 300 else 4)
+    for r in langid.entropies(df, blocks).collect():
+        want = sorted((v, k) for k, v in entropy(r.row.text).items())
+        assert r.best == want[0][1] and r.own == pytest.approx(want[0][0], rel=1e-5) and r.next == pytest.approx(want[1][0], rel=1e-5)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    assert got == {i: min((v, k) for k, v in entropy(t).items())[1] for i, (t, _) in enumerate(pairs)}
 
 
 # toxicity
