@@ -5,24 +5,26 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, cut, bound_batches
+from .common import WORDS, bound_batches, cut
 
-#: Benchmark items are taken in blocks of so many, which bounds what is broadcast.
-ITEMS = 2000
+#: Documents are encoded over the words of so many benchmark items as have at most VOCABULARY different ones, which bounds
+#: what is broadcast; the search then takes ITEMS of them at a time.
+VOCABULARY, ITEMS = 1_000_000, 2000
 #: Words of a passage in the matrix, latent dimensions, and how many more the range finder carries.
 PASSAGE, RANK, EXTRA = 64, 48, 8
-#: Terms in more than this part of the passages say nothing about a text and weigh nothing. A window needs so many others.
-COMMON, TERMS = 0.003, 2
 #: Besides what an item may miss, so large a part of its words (and at least two) counts among its rare ones, see Rare.
 SPARE = 0.3
-#: Window lengths for items grow by this factor; windows start every third of their length.
+#: Window lengths for items grow by this factor; windows start every third of their length, or a little more often.
 GROWTH = 1.5
+#: Numbers of matrix entries and of words that are worked on at a time.
+ENTRIES, LINE = 200_000, 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,17 +39,14 @@ def answer_of(text: str) -> list[str]:
 
 
 class Items:
-    """A block of benchmark items over the terms that occur in it."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.terms: dict[str, int] = {}
-        self.ids, self.words, self.answers = [], [], []
-        for item, text in rows:
-            words = words_of(text)
-            if words:
-                self.ids.append(item)
-                self.words.append(np.array([self.terms.setdefault(w, len(self.terms)) for w in words], np.int64))
-                self.answers.append([self.terms[w] for w in answer_of(text) if w in self.terms])
+    """Benchmark items over their own terms, which others number in the table terms."""
+
+    def __init__(self, rows: list[tuple[int, list[int], list[int]]]):
+        """rows: item_id, words and answer by their numbers elsewhere."""
+        self.terms, words = np.unique(np.concatenate([np.array(w, np.int64) for _, w, _ in rows]), return_inverse=True)
+        self.ids = [i for i, _, _ in rows]
+        self.words = np.split(words, np.cumsum([len(w) for _, w, _ in rows])[:-1])
+        self.answers = [np.searchsorted(self.terms, a).tolist() for _, _, a in rows]
         lengths = defaultdict(list)
         for i, own in enumerate(self.words):
             size = 8.0
@@ -56,11 +55,17 @@ class Items:
             lengths[int(size)].append(i)
         self.windows = dict(lengths)
 
+    def local(self, width: int) -> np.ndarray:
+        """From numbers in a table of width terms to this block's, -1 for terms it does not have."""
+        out = np.full(width, -1, np.int32)
+        out[self.terms] = np.arange(len(self.terms))
+        return out
 
-def encode(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, n_words, places, terms): where each document has terms of the items, as little-endian int32."""
+
+def encode(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """(doc_id, n_words, places, terms): where each document has these terms, as little-endian int32."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(items.terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         get = shared.value.get
@@ -77,8 +82,8 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, places binary, terms binary")
 
 
-def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    """(passage, term) of every occurrence, passages numbered within the batch, and how many there are."""
+def _passages(batch: pa.RecordBatch, local: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(passage, term) of every occurrence, passages numbered within the batch, and how many there are; terms as local has them."""
     sizes = batch.column("n_words").to_numpy()
     tiles = np.maximum(1, -(-sizes // PASSAGE))
     first = np.cumsum(tiles) - tiles
@@ -86,11 +91,15 @@ def _passages(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     terms = [np.frombuffer(x, np.int32) for x in batch.column("terms").to_pylist()]
     counts = np.array([len(x) for x in places], np.int64)
     at = np.concatenate(places).astype(np.int64) // PASSAGE + np.repeat(first, counts) if len(places) else np.zeros(0, np.int64)
-    return at, np.concatenate(terms).astype(np.int64) if len(terms) else np.zeros(0, np.int64), int(tiles.sum())
+    terms = np.concatenate(terms).astype(np.int64) if len(terms) else np.zeros(0, np.int64)
+    if local is not None:
+        terms = local[terms].astype(np.int64)
+        at, terms = at[terms >= 0], terms[terms >= 0]
+    return at, terms, int(tiles.sum())
 
 
-def idf(encoded: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed inverse passage frequency of each term over all passages, 0 for common terms; and in how many passages each is."""
+def frequencies(encoded: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """How many passages there are, and in how many each term is."""
 
     def run(batches):
         found, total = np.zeros(width, np.int64), 0
@@ -98,39 +107,43 @@ def idf(encoded: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             at, terms, n = _passages(batch)
             found += np.bincount(np.unique(at * width + terms) % width, minlength=width)
             total += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, width)), pa.array(np.concatenate(([total], found)))], ["term", "n"])
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], some))), pa.array(np.concatenate(([total], found[some])))], ["term", "n"])
 
     counts = np.zeros(width + 1, np.int64)
-    for r in encoded.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r.term + 1] = r.n
-    total, found = counts[0], counts[1:]
-    common = found > max(50, COMMON * total)
-    if common.all():
-        common[:] = False
-    return np.where(common, 0.0, np.log((1 + total) / (1 + found)) + 1), found
+    rows = encoded.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    counts[rows["term"].to_numpy() + 1] = rows["n"].to_numpy()
+    return int(counts[0]), counts[1:]
 
 
-def _gram(encoded: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _gram(encoded: DataFrame, local: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """AᵀA basis, A being the unit-length TF-IDF passages: one pass, partial sums by task, then sums by term."""
     spark, (width, rank) = encoded.sparkSession, basis.shape
-    shared = spark.sparkContext.broadcast((weights, basis))
+    shared = spark.sparkContext.broadcast((local, weights, basis.astype(np.float32)))
 
     def run(batches):
-        weights, basis = shared.value
+        local, weights, basis = shared.value
         out = np.zeros((width, rank))
         for batch in batches:
-            at, terms, n = _passages(batch)
-            on = weights[terms] > 0
-            at, terms = at[on], terms[on]
+            at, terms, n = _passages(batch, local)
             if not len(at):
                 continue
             key, times = np.unique(at * width + terms, return_counts=True)
             at, terms = key // width, key % width
             v = times * weights[terms]
-            v /= np.sqrt(np.bincount(at, v * v, minlength=n))[at]
-            for j in range(rank):
-                y = np.bincount(at, v * basis[terms, j], minlength=n)
-                out[:, j] += np.bincount(terms, v * y[at], minlength=width)
+            v = (v / np.sqrt(np.bincount(at, v * v, minlength=n))[at]).astype(np.float32)
+            a = 0
+            while a < len(at):  # whole passages
+                b = len(at) if a + ENTRIES >= len(at) else int(np.searchsorted(at, at[a + ENTRIES], "right"))
+                t, w = terms[a:b], v[a:b, None]
+                starts = np.flatnonzero(np.concatenate(([True], at[a + 1 : b] != at[a : b - 1])))
+                y = np.add.reduceat(w * basis[t], starts, axis=0)
+                order = np.argsort(t, kind="stable")
+                own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b - a)))[order]
+                t = t[order]
+                starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+                out[t[starts]] += np.add.reduceat(w[order] * y[own], starts, axis=0)
+                a = b
         some = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(out[some, j]) for j in range(rank))], ["term", *(f"v{j}" for j in range(rank))])
 
@@ -142,13 +155,13 @@ def _gram(encoded: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndar
     return out
 
 
-def latent(encoded: DataFrame, weights: np.ndarray, rank: int = RANK, seed: int = 8) -> np.ndarray:
+def latent(encoded: DataFrame, local: np.ndarray, weights: np.ndarray, rank: int = RANK, seed: int = 8) -> np.ndarray:
     """The leading right singular vectors of the passage matrix, by a randomised range finder with one power step."""
     width = len(weights)
     size = min(width, rank + EXTRA)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, size)))[0]
-    basis = np.linalg.qr(_gram(encoded, weights, basis))[0]
-    small = basis.T @ _gram(encoded, weights, basis)
+    basis = np.linalg.qr(_gram(encoded, local, weights, basis))[0]
+    small = basis.T @ _gram(encoded, local, weights, basis)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
@@ -174,8 +187,8 @@ def _holds(region: list[int], answer: list[int]) -> bool:
 
 
 def grid(size: int) -> tuple[int, int, int]:
-    """(step, before, cells) of windows of this length: they start every step words; their regions, from half a window before to half a window after, start at most so many cells of a step before and touch at most so many."""
-    step = max(1, size // 3)
+    """(step, before, cells) of windows of this length: they start every step words (a power of two); their regions, from half a window before to half a window after, start at most so many cells of a step before and touch at most so many."""
+    step = 1 << (max(1, size // 3).bit_length() - 1)
     before = -(-(size // 2) // step)
     return step, before, (2 * size - size // 2 - 1) // step + before + 1
 
@@ -234,116 +247,151 @@ class Rare:
         return found // width, found % width
 
 
-def matches_of(batch: pa.RecordBatch, items: Items, weights: np.ndarray, space: np.ndarray, queries: dict, least: float, similarity: float, loose: float) -> list[tuple]:
-    """Rows of LEAKS for the items that a batch of encoded documents holds.
+def _near(places: np.ndarray, vectors: np.ndarray, queries: dict, least: float):
+    """(size, members, windows, cosines) for each window length: windows, numbered by step, whose cosine to an item is at least least.
+
+    Vectors are summed by cells of the smallest step, cells in pairs to those of the next, and a window is a run of cells.
+    """
+    step = min(grid(size)[0] for size in queries)
+    cells = places // step
+    starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    sums = np.zeros((int(cells[-1]) + 2, vectors.shape[1]), np.float32)
+    sums[cells[starts]] = np.add.reduceat(vectors, starts, axis=0)
+    for size in sorted(queries):
+        matrix = queries[size][1]
+        while step < grid(size)[0]:
+            half = len(sums) // 2
+            joined = np.zeros((half + 2, sums.shape[1]), np.float32)
+            np.add(sums[: 2 * half : 2], sums[1 : 2 * half : 2], out=joined[:half])
+            joined[half] = sums[2 * half] if len(sums) % 2 else 0
+            sums, step = joined, 2 * step
+        run = -(-size // step)
+        windows = np.zeros((len(sums) + run - 1, sums.shape[1]), np.float32)  # the first one ends in the first cell
+        for i in range(run):
+            windows[run - 1 - i : len(windows) - i] += sums
+        norms = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        on = np.flatnonzero(norms > 0)
+        cos = (windows[on] / norms[on, None]) @ matrix
+        i, j = np.nonzero(cos >= least)
+        yield size, j, on[i] - (run - 1), cos[i, j]
+
+
+def matches_of(batch: pa.RecordBatch, items: Items, local: np.ndarray, space: np.ndarray, queries: dict, least: float, similarity: float, loose: float) -> list[tuple]:
+    """Rows of LEAKS for the items that a batch of encoded documents holds."""
+    ids, n_words = batch.column("doc_id").to_pylist(), batch.column("n_words").to_numpy()
+    places, terms = ([np.frombuffer(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("places", "terms"))
+    out, a = [], 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(np.cumsum(n_words[a:]), LINE)) + a)
+        out += [(ids[a + doc], *row) for doc, *row in _matches(n_words[a:b], places[a:b], terms[a:b], items, local, space, queries, least, similarity, loose)]
+        a = b
+    return out
+
 
-    All documents lie on one line of words, with gaps that no window or region bridges. Windows start every third of
-    their length at or before the terms that weigh something. Those that Rare names are looked at whatever their cosine.
+def _matches(n_words, places, terms, items, local, space, queries, least, similarity, loose) -> list[tuple]:
+    """(number of the document, item_id, cosine, similarity, start).
+
+    All documents lie on one line of words, each from a multiple of every step on, with gaps that no window or region bridges.
     """
-    docs, n_words = batch.column("doc_id").to_pylist(), batch.column("n_words").to_numpy()
-    gap = 4 * max(queries)
-    base = np.cumsum(n_words + gap) - n_words
-    own = [np.frombuffer(x, np.int32) for x in batch.column("places").to_pylist()]
-    counts = np.array([len(x) for x in own], np.int64)
-    if not counts.sum():
+    gap, unit = 4 * max(queries), max(grid(size)[0] for size in queries)
+    spans = -(-(n_words + gap) // unit) * unit
+    base = gap // unit * unit + unit + np.cumsum(spans) - spans
+    counts = np.array([len(x) for x in places], np.int64)
+    places = np.concatenate(places).astype(np.int64) + np.repeat(base, counts)
+    terms = local[np.concatenate(terms)]
+    places, terms = places[terms >= 0], terms[terms >= 0].astype(np.int64)
+    if not len(places):
         return []
-    places = np.concatenate(own).astype(np.int64) + np.repeat(base, counts)
-    terms = np.concatenate([np.frombuffer(x, np.int32) for x in batch.column("terms").to_pylist()])
-    heavy = np.flatnonzero(weights[terms] > 0)
-    at, of = places[heavy], terms[heavy]
-    mark = np.zeros(len(weights), bool)
+    vectors = space[terms]
+    mark = np.zeros(len(space), bool)
     found: dict[tuple[int, int], tuple[float, float, int]] = {}
-
-    def look(item: int, start: int, size: int, cosine) -> None:
-        words, s = items.words[item], start - size // 2
-        lo_, hi_ = np.searchsorted(places, (s, s + 2 * size))
-        region = terms[lo_:hi_]
-        mark[region] = True
-        held = int(mark[words].sum())
-        mark[region] = False
-        if not held or held < (loose if len(items.answers[item]) >= 3 else similarity) * len(words):
-            return
-        share = lcs(words, region) / len(words)
-        if share >= similarity or (share >= loose and len(items.answers[item]) >= 3 and _holds(region.tolist(), items.answers[item])):
-            doc = int(np.searchsorted(base, places[lo_], "right")) - 1
-            key = (doc, item)
-            if key not in found or share > found[key][1]:
-                found[key] = (float(cosine()), share, max(0, s - int(base[doc])))
-
-    for size, (members, matrix, rare) in queries.items():
+    for size, near, windows, cosines in _near(places, vectors, queries, least):
+        members, _, rare = queries[size]
         step = grid(size)[0]
-        cells = np.unique(at // step)
-        starts = np.unique(np.concatenate((cells, cells - 1, cells - 2))) * step
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + size)
-        on = hi - lo >= TERMS
-        starts, lo, hi = starts[on], lo[on], hi[on]
-        block = 20_000
-        for a in range(0, len(starts), block):
-            first, last = lo[a], hi[min(a + block, len(starts)) - 1]
-            sums = np.zeros((last - first + 1, space.shape[1]), np.float32)
-            np.cumsum(space[of[first:last]], axis=0, out=sums[1:])
-            w = sums[hi[a : a + block] - first] - sums[lo[a : a + block] - first]
-            w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-            cos = w @ matrix
-            for i, j in zip(*np.nonzero(cos >= least), strict=True):
-                look(members[j], int(starts[a + i]), size, lambda: cos[i, j])  # noqa: B023
-
-        def cosine() -> float:
-            v = space[of[slice(*np.searchsorted(at, (start, start + size)))]].sum(axis=0)  # noqa: B023
-            return v @ matrix[:, j] / max(np.linalg.norm(v), 1e-9)  # noqa: B023
-
-        for j, window in zip(*(x.tolist() for x in rare.windows(places, terms, size)), strict=True):
-            start = window * step
-            look(members[j], start, size, cosine)
-    return [(docs[doc], items.ids[item], *v) for (doc, item), v in found.items()]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, loose: float = 0.6, least: float = 0.45) -> DataFrame:
+        exact, at = rare.windows(places, terms, size)
+        # rows that the latent space names and that could stand, and those that could stand besides
+        wide = int(max(windows.max(initial=0), at.max(initial=0))) + 2 * size
+        keys = near * wide + windows + size
+        could = exact * wide + at + size
+        on = np.isin(keys, could)
+        known = dict(zip(keys[on].tolist(), cosines[on].tolist(), strict=True))
+        for key in could.tolist():
+            j, window = key // wide, key % wide - size
+            item, start = members[j], window * step
+            words, s = items.words[item], start - size // 2
+            lo, hi = np.searchsorted(places, (s, s + 2 * size))
+            region = terms[lo:hi]
+            mark[region] = True
+            held = int(mark[words].sum())
+            mark[region] = False
+            answer = items.answers[item]
+            if not held or held < (loose if len(answer) >= 3 else similarity) * len(words):
+                continue
+            share = lcs(words, region) / len(words)
+            if share >= similarity or (share >= loose and len(answer) >= 3 and _holds(region.tolist(), answer)):
+                doc = int(np.searchsorted(base, places[lo], "right")) - 1
+                pair, place = (doc, items.ids[item]), max(0, s - int(base[doc]))
+                before = found.get(pair, (0.0, 0.0, 0))
+                cosine = max(known.get(key, 0.0), before[0])
+                found[pair] = (cosine, share, place) if (-share, place) < (-before[1], before[2]) else (cosine, *before[1:])
+    return [(*pair, *v) for pair, v in found.items()]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, loose: float = 0.6, least: float = 0.6) -> DataFrame:
     """(doc_id, item_id, cosine, similarity, start) for every document and benchmark item it holds.
 
-    Passages and items become TF-IDF vectors over the items' terms (words, lower case), of which common ones weigh nothing,
-    and are projected on the leading singular vectors of all documents' passages. Windows about as long as an item whose cosine to it is at least least
-    are candidates, and so are, whatever their cosine and however common the words, all windows around which enough of the
-    item's words or its answer's first three stand (see Rare), so no window that would stand is passed over. A candidate stands if the longest common subsequence of the item and the words around covers
-    similarity of the item, or loose of it and the item's answer (at least three words) stands there in one run.
+    Passages and items become TF-IDF vectors over the items' terms (words, lower case; the square of the smoothed logarithm
+    of inverse passage frequency, so no term is left out however common) and are projected on the leading singular
+    vectors of all documents' passages. Windows about as long as an item whose cosine to it is at least least are
+    candidates; those that cannot stand, since too few of the item's words are around (see Rare), are passed over, and
+    all that can are looked at besides, so no window that would stand is lost. cosine is the best one of the windows that
+    stand and that the latent space named, 0 if it named none. A candidate stands if the longest common subsequence of the item and the
+    words around (twice the window's length) covers similarity of the item, or loose of it and the item's answer (at
+    least three words) stands there in one run. Windows start at multiples of grid()'s step, so what is found depends on
+    the document alone; of several windows the one that covers most, and the first of these, is reported.
 
     Null and empty texts hold nothing; items without words are passed over, as is a null item_id's name (it comes back
     null). Repeated rows are found as often as they occur, repeated items under each id. An empty table on either side
-    gives no rows. Whole texts are read; extra columns are not. Items are taken in blocks, so any number will do.
+    gives no rows. Whole texts are read; extra columns are not. Documents are encoded once for all items, or once for each
+    VOCABULARY different words of theirs.
     """
     spark = docs.sparkSession
-    out, block = None, []
+    parts, terms, group = [], {}, []
     for r in [*benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator(), None]:
-        if r is not None:
-            block.append((r.item_id, r.text))
-        if block and (r is None or len(block) == ITEMS):
-            part = _block(docs, Items(block), similarity, loose, least)
-            out, block = part if out is None else out.unionByName(part), []
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+        if r is not None and (words := words_of(r.text)):
+            own = [terms.setdefault(w, len(terms)) for w in words]
+            group.append((r.item_id, own, [terms[w] for w in answer_of(r.text) if w in terms]))
+        if group and (r is None or len(terms) >= VOCABULARY):
+            parts += _group(docs, terms, group, similarity, loose, least)
+            terms, group = {}, []
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LEAKS)
 
 
 LEAKS = "doc_id long, item_id long, cosine double, similarity double, start long"
 
 
-def _block(docs: DataFrame, items: Items, similarity: float, loose: float, least: float) -> DataFrame:
-    spark = docs.sparkSession
-    if not items.ids:
-        return spark.createDataFrame([], LEAKS)
-    encoded = cut(encode(docs, items), "encoded")
-    if (parts := spark.sparkContext.defaultParallelism) > encoded.rdd.getNumPartitions():
+def _group(docs: DataFrame, terms: dict[str, int], group: list[tuple], similarity: float, loose: float, least: float) -> list[DataFrame]:
+    encoded = cut(encode(docs, terms), "encoded")
+    if (parts := docs.sparkSession.sparkContext.defaultParallelism) > encoded.rdd.getNumPartitions():
         encoded = encoded.repartition(parts)  # a small table, which would be read by too few tasks
-    weights, passages = idf(encoded, len(items.terms))
-    space = (weights[:, None] * latent(encoded, weights)).astype(np.float32)
+    total, passages = frequencies(encoded, len(terms))
+    return [_block(encoded, Items(group[i : i + ITEMS]), total, passages, similarity, loose, least) for i in range(0, len(group), ITEMS)]
+
+
+def _block(encoded: DataFrame, items: Items, total: int, passages: np.ndarray, similarity: float, loose: float, least: float) -> DataFrame:
+    local, passages = items.local(len(passages)), passages[items.terms]
+    weights = np.log((1 + total) / (0.5 + passages)) ** 2
+    space = (weights[:, None] * latent(encoded, local, weights)).astype(np.float32)
     queries = {}
     for size, own in items.windows.items():
         m = np.stack([space[items.words[i]].sum(axis=0) for i in own], axis=1)
         queries[size] = (own, m / np.maximum(np.linalg.norm(m, axis=0), 1e-9), Rare(items, own, passages, similarity, loose))
-    shared = spark.sparkContext.broadcast((items, weights, space, queries))
+    shared = encoded.sparkSession.sparkContext.broadcast((items, local, space, queries))
 
     def run(batches):
-        items, weights, space, queries = shared.value
+        items, local, space, queries = shared.value
         for batch in batches:
-            rows = matches_of(batch, items, weights, space, queries, least, similarity, loose)
+            rows = matches_of(batch, items, local, space, queries, least, similarity, loose)
             names = [x.split()[0] for x in LEAKS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,13 +139,18 @@ class Models:
         real = sizes[sizes > 0]
         own = np.arange(real.sum()) + np.repeat(np.arange(1, len(real) + 1) * (ORDER - 1), real)  # where the events are
         past = np.arange(real.sum()) - np.repeat(np.cumsum(real) - real, real) + 1  # characters before each, with one start
+        # events with the same past (as much of it as counts) are scored once
+        points = flat[own[:, None] + np.arange(1 - ORDER, 1)]
+        points[np.arange(ORDER - 1, -1, -1)[None, :] > past[:, None]] = 0
+        _, some, every = np.unique(hashes(points), return_index=True, return_inverse=True)
+        points, past = points[some], past[some]
         orders = []
         for order in range(1, ORDER + 1):
             on = np.flatnonzero(past >= order - 1)
-            points = flat[own[on][:, None] + np.arange(1 - order, 1)]
-            orders.append((on, hashes(points), hashes(points[:, :-1])))
-        out = np.stack([m.score(len(own), orders) for m in self.models], axis=1) if self.models else np.zeros((len(own), 0))
-        return sum_runs(out, sizes), sizes
+            own = points[on, ORDER - order :]
+            orders.append((on, hashes(own), hashes(own[:, :-1])))
+        out = np.stack([m.score(len(some), orders) for m in self.models], axis=1) if self.models else np.zeros((len(some), 0))
+        return sum_runs(out[every], sizes), sizes
 
 
 def fit(counts: DataFrame) -> list[Models]:
@@ -157,17 +163,11 @@ def fit(counts: DataFrame) -> list[Models]:
                 points = _points(grams)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(hashes(x)) for x in (points, points[:, :-1], points[:, 1:])), batch.column(2)], ["lang", "gram", "context", "suffix", "n"])
 
-    levels, below, grams = [], [], counts.where(F.length("gram") == ORDER)
-    for order in range(ORDER, 0, -1):
-        grams = grams.select("lang", "gram", "n")
-        levels.insert(0, cut(grams.mapInArrow(hashed, "lang string, gram long, context long, suffix long, n long"), f"level{order}"))
-        if order > 1:  # below the top, a gram counts the different characters it follows, but at a word's start its uses
-            grams = grams.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")).unionByName(counts.where(F.length("gram") == order - 1).select("lang", "gram", "n"))
-            grams = cut(grams, f"grams{order - 1}")
-            below.append(grams)
-    sizes: Counter = Counter()
-    for level in levels:
-        sizes.update({r.lang: r.n for r in level.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})  # a row a language
+    levels = [counts.where(F.length("gram") == ORDER).select("lang", "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):  # below the top, a gram counts the different characters it follows, but at a word's start its uses
+        follows = levels[0].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels.insert(0, cut(follows.unionByName(counts.where(F.length("gram") == order).select("lang", "gram", "n")), f"grams{order}"))
+    sizes = {r.lang: r.n for r in reduce(DataFrame.unionByName, levels).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     blocks: list[list[str]] = []
     room = 0
     for lang in sorted(sizes):
@@ -178,13 +178,13 @@ def fit(counts: DataFrame) -> list[Models]:
         room -= sizes[lang]
     out = []
     for langs in blocks:
-        tables = [level.where(F.col("lang").isin(langs)).toArrow() for level in levels]
+        tables = [level.where(F.col("lang").isin(langs)).mapInArrow(hashed, "lang string, gram long, context long, suffix long, n long").toArrow() for level in levels]
         own = []
         for lang in langs:
             rows = [t.filter(pc.equal(t["lang"], lang)) for t in tables]
             own.append(Model([{c: t[c].to_numpy() for c in ("gram", "n", "context", "suffix")} for t in rows], letters))
         out.append(Models(langs, own))
-    forget(*levels, *below)
+    forget(*levels)
     return out
 
 

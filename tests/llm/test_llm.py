@@ -508,3 +508,71 @@ def test_decontamination_of_common_items(spark):
     texts += [f"{words(rng, 20, 400)} {x}" for x in rare] + [words(rng, 80, 400) for _ in range(60)]
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame([*enumerate([hot, *rare])], "item_id long, text string")).collect()}
     assert got == {(i, 0) for i in range(120)} | {(120 + i, 1 + i) for i in range(5)}
+
+
+def leaks_brute(texts, items, similarity=0.8, loose=0.6):
+    """All documents against all items: the longest common subsequence with every region that the operator could look at."""
+    out = set()
+    for d, text in enumerate(texts):
+        doc = decontam.words_of(text)
+        for i, item in enumerate(items):
+            words, answer, size = decontam.words_of(item), decontam.answer_of(item), 8.0
+            if not words:
+                continue
+            while size < len(words):
+                size *= decontam.GROWTH
+            size = int(size)
+            numbers = {w: n for n, w in enumerate(words)}
+            own, answer = np.array([numbers[w] for w in words]), [numbers[w] for w in answer]
+            step = decontam.grid(size)[0]
+            for k in range(-(3 * size // step), len(doc) // step + 1):
+                s = k * step - size // 2
+                region = [numbers[w] for w in doc[max(0, s) : max(0, s + 2 * size)] if w in numbers]
+                share = decontam.lcs(own, np.array(region, np.int64)) / len(words)
+                if share >= similarity or (share >= loose and len(answer) >= 3 and decontam._holds(region, answer)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    """An item in half of all documents, one of common words only, short and long ones, paraphrases, answers, repeated rows."""
+    rng = np.random.default_rng(16)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(400)]
+    say = lambda n, of=400: " ".join(rng.choice(vocab[:of], n))
+    items = [say(36), say(20, 12), say(4), say(90), f"{say(12)}? {say(5)}", say(30), say(30), say(9)]
+    texts = []
+    for n in range(160):
+        parts = [say(int(rng.integers(0, 60)), 400 if n % 3 else 40)]
+        if n % 2:
+            parts.append(items[0])
+        if n % 8 == 0:
+            own = items[int(rng.integers(0, len(items)))].split()
+            for at in rng.choice(len(own), int(rng.integers(0, max(1, len(own) // 3))), replace=False):
+                own[at] = str(rng.choice(["x", "", say(2)]))
+            parts.append(" ".join(own))
+        if n % 10 == 5:
+            own = items[1].split()
+            parts.append(" ".join(own[:10] + [say(3)] + own[10:]))
+        if n == 77:
+            parts.append(f"{items[4].split('?')[0][:30]} {items[4].split('? ')[1]}")
+        parts.append(say(int(rng.integers(0, 60))))
+        texts.append(" ".join(parts))
+    df, bench = docs_of(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    want = leaks_brute(texts, items)
+    rows = decontam.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) and sum(i == 0 for _, i in want) >= 80
+    assert len({i for _, i in want}) >= 6
+    again = decontam.find_leaks(df.unionByName(df).repartition(7), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in again) == sorted(2 * [(r.doc_id, r.item_id, r.similarity, r.start) for r in rows])
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Items and vocabularies taken a few at a time find the same."""
+    rng = np.random.default_rng(17)
+    items = [words(rng, 25, 400) for _ in range(9)]
+    df = docs_of(spark, [f"{words(rng, 30, 400)} {x} {words(rng, 30, 400)}" for x in items * 2])
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "ITEMS", 2)
+    monkeypatch.setattr(decontam, "VOCABULARY", 60)
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == {(i, i % 9) for i in range(18)}
