@@ -38,9 +38,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", "source", "text")
-    return sharding.assign_shards(slim, 40).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return sharding.assign_shards(docs, 40, texts=False).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

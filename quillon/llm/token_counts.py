@@ -91,7 +91,8 @@ class Counter:
 def count_tokens(docs: DataFrame, model: str, column: str = "text") -> DataFrame:
     """docs' doc_id and n_tokens: the pieces of the whole text, words being split at white space and each begun by a space mark.
 
-    Null and empty texts have none. Repeated rows and ids give a row each; extra columns are not read. Words are counted
+    Every piece of the vocabulary matches in plain text, also those written like controls or bytes ("<s>", "<0x41>"), as in
+    the libraries' unigram models, to which pieces are strings. Null and empty texts have none. Repeated rows and ids give a row each; extra columns are not read. Words are counted
     once for each worker and then looked up; the lookup is bounded and emptied when full.
     """
     bound_batches(docs.sparkSession)

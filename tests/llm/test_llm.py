@@ -82,6 +82,37 @@ def test_sharding(spark):
     assert sharding.assign_shards(nulls, 4).where("shard is null or slot is null").count() == 0
 
 
+def shards_brute(rows, shards, seed=5):
+    """(doc_id, crc) to (shard, slot), for rows (doc_id, text, source), all different."""
+    by = {}
+    for d, t, s in rows:
+        crc = zlib.crc32((t or "").encode())
+        key = hashlib.md5(f"{seed}|{'' if d is None else d}|{crc}".encode()).hexdigest()
+        by.setdefault("n" if s is None else "s" + s, []).append((key, -1 if d is None else d, len((t or "").encode()) + 16, crc))
+    return by
+
+
+def test_sharding_is_brute_force(spark):
+    """The whole order from the definition; very many sources of one row spread over all shards; clashing columns."""
+    rng = np.random.default_rng(18)
+    rows = [(i, str(rng.integers(0, 9)) * int(rng.integers(0, 5)), f"s{i}" if i % 2 else None if i % 10 == 0 else "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(-1) for c in ("shard", "slot", "size", "text_crc32", "rank", "bucket")}).repartition(5)
+    names = {r.s: r.h for r in spark.createDataFrame([(k,) for k in shards_brute(rows, 40)], "s string").select("s", F.pmod(F.xxhash64(F.lit(5), "s"), F.lit(1 << 20)).alias("h")).collect()}
+    order = []
+    for name, own in shards_brute(rows, 40).items():
+        for rank, row in enumerate(sorted(own), 1):
+            order.append(((rank - (names[name] + 0.5) / (1 << 20)) / len(own), *row[:3], name))
+    want = {}
+    for at, row in enumerate(sorted(order)):
+        shard = at * 40 // len(order)
+        want[row[2]] = (shard, at - -(-shard * len(order) // 40))
+    got = sharding.assign_shards(df, 40).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+    assert all((r.rank, r.bucket, r.text) == (-1, -1, rows[r.doc_id][1]) for r in got)
+    alone = np.bincount([r.shard for r in got if r.doc_id % 2], minlength=40)
+    assert alone.min() > 15 and "text" not in sharding.assign_shards(df, 40, texts=False).columns
+
+
 # chat
 
 
@@ -233,6 +264,39 @@ def test_anchors_cover():
     assert {k for k, _ in left & right} == set(range(len(x)))
 
 
+def test_split_anchors_cover():
+    rng = np.random.default_rng(20)
+    x = rng.integers(0, 2**63, 2000, np.uint64)
+    y = x.copy()
+    for _ in range(4):
+        y ^= np.uint64(1) << rng.integers(0, 63, len(y)).astype(np.uint64)
+    met = []
+    for v in (x, y):
+        i, a = simhash.anchors_of(v)
+        j, b = simhash.split_anchors(a, v[i])
+        met.append(set(zip(i[j].tolist(), b.tolist(), strict=True)))
+    assert {k for k, _ in met[0] & met[1]} == set(range(len(x)))
+
+
+@pytest.mark.parametrize("dense", [3, 40])
+def test_simhash_of_dense_anchors(spark, monkeypatch, dense):
+    """Fingerprints that crowd at few anchors, which are split, give the components of all pairs."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(19)
+    seeds = rng.integers(0, 2**63, 12, np.uint64)
+    fps = {int(s) ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 6)), replace=False)) for s in seeds for _ in range(60)}
+    fps = sorted(fps | {int(rng.integers(0, 2**63)) for _ in range(100)})
+    root = {f: f for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= 4 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    links = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3), 4)
+    got = {r.node: r.root for r in components.components(links, "a", "b").collect()}
+    assert got == {f: r for f, r in root.items() if r != f or list(root.values()).count(f) > 1}
+
+
 def test_linked_joins_everything():
     fps = np.array([0, 1, 3, 7, 15, 31, 63, 2**63, 2**63 + 1, 2**40 * 0xFFFF], np.uint64)
     assert len(simhash.linked(fps, 1)) == 8
@@ -450,6 +514,29 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(df, marks.limit(0))).count() == 503
 
 
+def test_toxicity_scores_are_brute_force(spark):
+    """Every score of the query from the net's numbers, word by word; repeated ids teach once."""
+    rng = np.random.default_rng(21)
+    texts = [words(rng, int(rng.integers(0, 30)), 60) + (" vilex nastu" if i % 3 == 0 else "") for i in range(90)] + [None, "x"]
+    df = docs_of(spark, texts)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    net = toxicity.fit(df.unionByName(df.where("doc_id < 40")), marks)
+    assert (net.embed == toxicity.fit(df, marks).embed).all()
+
+    def brute(text):
+        own = [net.embed[toxicity.slots_of([w])[0]].sum(axis=0) for w in toxicity.words_of(text)] + [np.zeros(toxicity.DIM)] * toxicity.PADS
+        block, hidden = 0, []
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                each = [sum(own[p + j] @ net.filters[:, (block + j) * toxicity.FILTERS + f] for j in range(width)) for p in range(len(own) - toxicity.PADS + 1)]
+                hidden.append(max(0, max(each) + net.bias[width * toxicity.FILTERS - toxicity.FILTERS + f]))
+            block += width
+        return 1 / (1 + np.exp(-(net.scale[0] * (np.array(hidden) @ net.out + net.shift) + net.scale[1])))
+
+    got = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    assert got == pytest.approx({i: brute(t) for i, t in enumerate(texts)}, abs=1e-4)
+
+
 def test_pooling_in_spans_is_the_same():
     rng = np.random.default_rng(9)
     net = toxicity.Net(rng.normal(size=(toxicity.SLOTS, toxicity.DIM)).astype(np.float32), rng.normal(size=(toxicity.DIM, toxicity.BLOCKS * toxicity.FILTERS)).astype(np.float32), np.zeros(24, np.float32), np.zeros(24, np.float32), 0.0)
