@@ -663,3 +663,37 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS", 2)
     monkeypatch.setattr(decontam, "VOCABULARY", 60)
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == {(i, i % 9) for i in range(18)}
+
+
+# rows that repeat, ids that are null or shared, and columns of any name
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(22)
+    long = "this line is long enough to be a key of many documents"
+    rows = [(i, f"{long}\n{words(rng, 8)}", "x", "x", -7, "x", "x") for i in range(6)] + [(None, long, "x", "x", -7, "x", "x"), (None, f"{long}\n{long}", "x", "x", -7, "x", "x"), (3, "other text", "x", "x", -7, "x", "x"), (8, None, "x", "x", -7, "x", "x"), (9, "", "x", "x", -7, "x", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line string, h1 string, n_dropped int, drops string, bits string").repartition(3)
+    df = df.unionByName(df)
+    out = line_dedup.dedup_lines(df).collect()
+    want = lines_brute([(-1 if r[0] is None else r[0], r[1]) for r in rows if r[1] != "other text"])
+    for r in out:
+        if r.text == "other text":
+            assert r.doc_id == 3 and r.n_dropped == 0
+        elif r.doc_id is None:
+            assert r.text == "" and r.n_dropped == r.n_lines and r.line == "x"
+        else:
+            assert r.text == "\n".join(want[r.doc_id])
+    assert len(out) == 2 * len(rows)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(df, path, 64).collect()
+    assert sum(r.doc_id is None for r in packed) == 4 and sum(r.doc_id == 8 for r in packed) == 2
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(o == sum(n for a, n in own if a < o) for own in spans.values() for o, _ in own)
+    counts = token_counts.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(counts) == len(out) and {r.n_tokens for r in counts if r.doc_id in (8, 9)} == {0}
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == len(out) and {r.component_id for r in near if r.doc_id in (8, 9)} == {8}
+    prints = {r.fingerprint for r in near if r.doc_id is None}
+    assert all(r.component_id is not None or r.fingerprint in prints for r in near)
