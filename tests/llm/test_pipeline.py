@@ -44,7 +44,7 @@ def test_stages_are_brute_force(spark, tmp_path):
     rows = []
     for i in range(90):
         text = words(rng, int(rng.integers(20, 60)), 300, letters[i % 2])
-        text += f"\n{line}" if i % 4 == 0 else f"\n{item}" if i % 9 == 1 else ""
+        text += f"\n{line}" if i % 4 == 0 else f"\nno{i} {item}" if i % 9 == 1 else ""
         rows.append((i, text, "ab"[i % 2], "s", len(text)))
     rows += [(100 + i, rows[i][1] + "!" * (i % 2), *rows[i][2:]) for i in range(1, 40, 4)]
     rows += [(200, None, "a", "s", 0), (201, "", None, "s", 0), (202, "Ж" * 30 + " жжж ццц щщщ", None, "s", 0), rows[5]]
