@@ -6,6 +6,7 @@ import math
 import re
 from collections import defaultdict
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from .common import WORDS, bound_batches, cut
 #: what is broadcast; the search then takes ITEMS of them at a time.
 VOCABULARY, ITEMS = 1_000_000, 2000
 #: Words of a passage in the matrix, latent dimensions, and how many more the range finder carries.
-PASSAGE, RANK, EXTRA = 64, 48, 8
+PASSAGE, RANK, EXTRA = 64, 32, 8
 #: Besides what an item may miss, so large a part of its words (and at least two) counts among its rare ones, see Rare.
 SPARE = 0.3
-#: Window lengths for items grow by this factor; windows start every third of their length, or a little more often.
+#: Window lengths for items grow by this factor; windows start every half of their length, or more often.
 GROWTH = 1.5
 #: Numbers of matrix entries and of words that are worked on at a time.
 ENTRIES, LINE = 200_000, 150_000
@@ -73,7 +74,7 @@ def encode(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
             out = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                ids = np.array([get(w, -1) for w in words], np.int32)
+                ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(ids >= 0).astype(np.int32)
                 for column, v in zip(out, (doc, len(words), at.tobytes(), ids[at].tobytes()), strict=True):
                     column.append(v)
@@ -105,7 +106,8 @@ def frequencies(encoded: DataFrame, width: int) -> tuple[int, np.ndarray]:
         found, total = np.zeros(width, np.int64), 0
         for batch in batches:
             at, terms, n = _passages(batch)
-            found += np.bincount(np.unique(at * width + terms) % width, minlength=width)
+            key = np.sort(at * width + terms)
+            found += np.bincount(key[np.flatnonzero(np.diff(key, prepend=-1))] % width, minlength=width)
             total += n
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], some))), pa.array(np.concatenate(([total], found[some])))], ["term", "n"])
@@ -117,7 +119,10 @@ def frequencies(encoded: DataFrame, width: int) -> tuple[int, np.ndarray]:
 
 
 def _gram(encoded: DataFrame, local: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """AᵀA basis, A being the unit-length TF-IDF passages: one pass, partial sums by task, then sums by term."""
+    """AᵀA basis, A being the TF-IDF passages: one pass, partial sums by task, then sums by term.
+
+    A passage is scaled by the root of the summed squares of its words' weights, a word counting as often as it occurs.
+    """
     spark, (width, rank) = encoded.sparkSession, basis.shape
     shared = spark.sparkContext.broadcast((local, weights, basis.astype(np.float32)))
 
@@ -128,9 +133,7 @@ def _gram(encoded: DataFrame, local: np.ndarray, weights: np.ndarray, basis: np.
             at, terms, n = _passages(batch, local)
             if not len(at):
                 continue
-            key, times = np.unique(at * width + terms, return_counts=True)
-            at, terms = key // width, key % width
-            v = times * weights[terms]
+            v = weights[terms]
             v = (v / np.sqrt(np.bincount(at, v * v, minlength=n))[at]).astype(np.float32)
             a = 0
             while a < len(at):  # whole passages
@@ -138,7 +141,7 @@ def _gram(encoded: DataFrame, local: np.ndarray, weights: np.ndarray, basis: np.
                 t, w = terms[a:b], v[a:b, None]
                 starts = np.flatnonzero(np.concatenate(([True], at[a + 1 : b] != at[a : b - 1])))
                 y = np.add.reduceat(w * basis[t], starts, axis=0)
-                order = np.argsort(t, kind="stable")
+                order = np.argsort(t.astype(np.uint16) if width <= 1 << 16 else t, kind="stable")
                 own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b - a)))[order]
                 t = t[order]
                 starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
@@ -188,7 +191,7 @@ def _holds(region: list[int], answer: list[int]) -> bool:
 
 def grid(size: int) -> tuple[int, int, int]:
     """(step, before, cells) of windows of this length: they start every step words (a power of two); their regions, from half a window before to half a window after, start at most so many cells of a step before and touch at most so many."""
-    step = 1 << (max(1, size // 3).bit_length() - 1)
+    step = 1 << (max(1, size // 2).bit_length() - 1)
     before = -(-(size // 2) // step)
     return step, before, (2 * size - size // 2 - 1) // step + before + 1
 
