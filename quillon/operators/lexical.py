@@ -1,4 +1,4 @@
-"""BM25 over an inverted index that is three aggregates of one token table."""
+"""BM25 over an inverted index that is one table of postings and two aggregates of it."""
 
 from __future__ import annotations
 
@@ -9,21 +9,35 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
+#: So many different query terms may be broadcast.
+SMALL = 1_000_000
+
 
 @dataclass
 class Index:
-    """postings: id, term, tf, length; terms: term, df; sizes: a row of n and average length."""
+    """postings: id, term, tf, length; terms: term, df; sizes: a row of n and average length; ids: id of every chunk."""
 
     postings: DataFrame
     terms: DataFrame
     sizes: DataFrame
+    ids: DataFrame
 
 
-def index(chunks: DataFrame, id_: str = "id", text: str = "text") -> Index:
+def postings(chunks: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """(id, term, tf, length) of chunks: terms are counted on the map side before they are shuffled."""
     own = chunks.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("t"))
-    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("average"))
-    postings = own.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), sizes)
+    return own.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def of_postings(table: DataFrame, chunks: DataFrame, id_: str = "id") -> Index:
+    """The index of a table of postings, which is read several times: written or persisted, it is made once."""
+    sizes = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(table.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))  # one row each
+    return Index(table, table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), sizes.select("n", (F.col("all") / F.col("n")).alias("average")), chunks.select(F.col(id_).alias("id")))
+
+
+def index(chunks: DataFrame, id_: str = "id", text: str = "text") -> Index:
+    """An index whose postings are persisted; unpersist() them when it is done with."""
+    return of_postings(postings(chunks, id_, text).persist(), chunks, id_)
 
 
 def weights(ix: Index, kind: str = "okapi", epsilon: float = 0.25) -> DataFrame:
@@ -38,22 +52,27 @@ def weights(ix: Index, kind: str = "okapi", epsilon: float = 0.25) -> DataFrame:
 
 
 def term_scores(ix: Index, queries: DataFrame, kind: str = "okapi", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, term, id, score) for queries (query_id, text); a repeated term counts repeatedly."""
+    """(query_id, term, id, score) for queries (query_id, text); a repeated term counts repeatedly.
+
+    Where the queries have few different terms, these are broadcast, so postings are neither shuffled nor is a common
+    term's list the work of one task.
+    """
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = asked.join(weights(ix, kind), "term")
-    met = ix.postings.join(weighted, "term").crossJoin(F.broadcast(ix.sizes))
+    small = asked.count() <= SMALL
+    found = weights(ix, kind).join(F.broadcast(asked) if small else asked, "term")
+    met = ix.postings.join(F.broadcast(found) if small else found, "term").crossJoin(F.broadcast(ix.sizes))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     return met.select("query_id", "term", "id", (F.col("times") * F.col("idf") * tf).alias("score"))
 
 
-def top_k(ix: Index, chunks: DataFrame, queries: DataFrame, k: int, id_: str = "id", **options) -> DataFrame:
+def top_k(ix: Index, queries: DataFrame, k: int, **options) -> DataFrame:
     """(query_id, id, score, rank): the k best chunks of each query, ties (to nine decimals) by id; chunks without a query term score 0.
 
     A chunk that scores 0 ranks by id, so beside the scored ones only the first 2 k chunks can be needed: no query is
     joined with all chunks.
     """
     scored = term_scores(ix, queries, **options).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    first = chunks.select(F.col(id_).alias("id")).orderBy("id").limit(2 * k)
+    first = ix.ids.orderBy("id").limit(2 * k)
     fill = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
     both = scored.unionByName(fill).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")

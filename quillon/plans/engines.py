@@ -72,22 +72,23 @@ class VectorEngine(Engine):
 
 
 class LexicalEngine(Engine):
-    """BM25 over chunks; the inverted index is three written tables."""
+    """BM25 over chunks; the inverted index is three written tables, two of them made from the written postings."""
 
     def index(self, documents: DataFrame) -> None:
         super().index(documents)
-        ix = lexical.index(self.table("chunks").select(F.col("chunk_id").alias("id"), "text"))
-        self._save("postings", ix.postings)
+        chunks = self.table("chunks").select(F.col("chunk_id").alias("id"), "text")
+        self._save("postings", lexical.postings(chunks))
+        ix = lexical.of_postings(self.table("postings"), chunks)
         self._save("terms", ix.terms)
         self._save("sizes", ix.sizes)
 
     @property
     def inverted(self) -> lexical.Index:
-        return lexical.Index(self.table("postings"), self.table("terms"), self.table("sizes"))
+        return lexical.Index(self.table("postings"), self.table("terms"), self.table("sizes"), self.table("chunks").select(F.col("chunk_id").alias("id")))
 
     def retrieve(self, questions: DataFrame, k: int = 10) -> DataFrame:
         chunks = self.table("chunks").drop("id").withColumnRenamed("chunk_id", "id")
-        found = lexical.top_k(self.inverted, chunks, questions.select("query_id", F.col("question").alias("text")), k)
+        found = lexical.top_k(self.inverted, questions.select("query_id", F.col("question").alias("text")), k)
         return found.join(chunks.select("id", "doc_id", "text"), "id").withColumnRenamed("id", "chunk_id").select(*FOUND)
 
 

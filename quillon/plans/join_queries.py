@@ -28,16 +28,16 @@ def corpus_difference(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("source").subtract(t.documents.where("lang = 'es'").select("source"))
 
 
-@query("with a as (select distinct o_custkey as k from orders), b as (select c_custkey as k from customer where c_custkey < 700) select (select count(*) from a where k in (select k from b)) as shared, case when (select count(*) from b where k not in (select k from a)) = 0 then 'subset' when (select count(*) from a where k in (select k from b)) = 0 then 'disjoint' else 'partial' end as verdict")
+@query("with a as (select distinct o_custkey as k from orders), b as (select c_custkey as k from customer) select (select count(*) from a where k in (select k from b)) as shared, case when (select count(*) from b where k not in (select k from a)) = 0 then 'subset' when (select count(*) from a where k in (select k from b)) = 0 then 'disjoint' else 'partial' end as verdict")
 def overlap_verdict(t: Tables) -> DataFrame:
-    a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.where("c_custkey < 700").select(F.col("c_custkey").alias("k")).distinct()
+    a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.select(F.col("c_custkey").alias("k")).distinct()
     both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "k", "full").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("a").isNull()).alias("missing"))
     return both.select("shared", F.when(F.col("missing") == 0, "subset").when(F.col("shared") == 0, "disjoint").otherwise("partial").alias("verdict"))
 
 
-@query("select text from documents where doc_id < 100 union all select text from documents where doc_id >= 50 and doc_id < 150")
+@query("select text from documents union all select text from benchmark")
 def bag_union(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id < 100").select("text").unionByName(t.documents.where("doc_id >= 50 and doc_id < 150").select("text"))
+    return t.documents.select("text").unionByName(t.benchmark.select("text"))
 
 
 @query("select o_orderkey, coalesce(c_name, regexp_replace('Customer#' || o_custkey, '[<>:\"/\\\\|?*#]', '_', 'g')) as name from orders left join (select * from customer where c_custkey % 2 = 0) c on o_custkey = c_custkey")

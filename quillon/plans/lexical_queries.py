@@ -13,11 +13,15 @@ from quillon.plans.runlog_queries import rounded
 TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 CHUNKS = r"""w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents),
 c as (select doc_id, doc_id || '_' || lpad(cast(n as varchar), 4, '0') as id, array_to_string(w[n * 200 + 1 : n * 200 + 200], ' ') as text from (select doc_id, w, unnest(range(0, (len(w) + 199) // 200)) as n from w))"""
-INDEX = f"""t as (select id, doc_id, {TOK} as t from c), s as (select count(*) as n, avg(len(t)) as average from t),
-p as (select id, doc_id, length, term, count(*) as tf from (select id, doc_id, len(t) as length, unnest(t) as term from t) group by all), d as (select term, count(*) as df from p group by term),
-r as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw, ln(1 + (n - df + 0.5) / (df + 0.5)) as plus from d, s), i as (select term, case when raw < 0 then 0.25 * (select avg(raw) from r) else raw end as idf, plus from r),
+INDEX = f"""t as materialized (select id, doc_id, {TOK} as t from c), s as (select count(*) as n, avg(len(t)) as average from t),
+p as materialized (select id, doc_id, length, term, count(*) as tf from (select id, doc_id, len(t) as length, unnest(t) as term from t) group by all), d as materialized (select term, count(*) as df from p group by term),
+r as materialized (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw, ln(1 + (n - df + 0.5) / (df + 0.5)) as plus from d, s), i as materialized (select term, case when raw < 0 then 0.25 * mean else raw end as idf, plus from r, (select avg(raw) as mean from r)),
 q as (select item_id as query_id, term, count(*) as times from (select item_id, unnest({TOK}) as term from benchmark) group by all)"""
 
+BEST = """m as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / average))) as score from q join i using (term) join p using (term), s group by 1, 2),
+a as (select b.item_id as query_id, c.id, coalesce(m.score, 0) as score from benchmark b cross join c left join m on m.query_id = b.item_id and m.id = c.id),
+k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from a)"""
+
 
 def chunks(t: Tables, size: int = 200) -> DataFrame:
     return S.word_chunks(t.documents, size).select(F.col("chunk_id").alias("id"), "doc_id", "text")
@@ -27,12 +31,10 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(f"""with {CHUNKS}, {INDEX}, m as (select query_id, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / average))) as score from q join i using (term) join p using (term), s group by 1, 2),
-a as (select b.item_id as query_id, c.id, coalesce(m.score, 0) as score from benchmark b cross join c left join m on m.query_id = b.item_id and m.id = c.id),
-k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from a) select query_id, id, round(score, 6) as score, cast(rank as int) as rank from k where rank <= 10""")
+@query(f"with {CHUNKS}, {INDEX}, {BEST} select query_id, id, round(score, 6) as score, cast(rank as int) as rank from k where rank <= 10")
 def bm25_topk(t: Tables) -> DataFrame:
     own = chunks(t)
-    return rounded(L.top_k(L.index(own), own, questions(t), 10))
+    return rounded(L.top_k(L.index(own), questions(t), 10))
 
 
 @query(f"""with {CHUNKS}, {INDEX}, m as (select query_id, term, id, doc_id, times * plus * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average)) as score from q join i using (term) join p using (term), s where times * length > 0),

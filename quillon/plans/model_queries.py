@@ -10,7 +10,9 @@ from quillon.functions import models as M
 from quillon.functions import text as T
 from quillon.operators import cluster as C
 from quillon.operators import segment as S
-from quillon.operators import tuning
+from quillon.operators import lexical, tuning
+from quillon.plans.lexical_queries import BEST, CHUNKS, INDEX, TOK
+from quillon.plans.lexical_queries import chunks as cut_chunks
 from quillon.plans.lexical_queries import questions as asked
 from quillon.plans.runlog_queries import rounded
 from quillon.plans.vector_queries import chunks, questions
@@ -80,11 +82,14 @@ def entity_triples(t: Tables) -> DataFrame:
     return M.cooccurrences(t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(r"""with q as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as w from benchmark), d as (select doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')) as w from documents)
-select item_id, doc_id, round(len(list_intersect(q.w, d.w)) / greatest(1, len(q.w)), 6) as score from q join d on d.doc_id % 40 = q.item_id""")
+@query(rf"""with {CHUNKS}, {INDEX}, {BEST}, qw as (select item_id, list_distinct({TOK}) as qw from benchmark), cw as (select id, list_distinct({TOK}) as cw from c)
+select item_id, id, round(len(list_intersect(qw, cw)) / greatest(1, len(qw)), 6) as score from k join qw on item_id = query_id join cw using (id) where rank <= 10""")
 def rerank_scores(t: Tables) -> DataFrame:
-    both = t.benchmark.select("item_id", F.col("text").alias("q")).join(t.documents.select("doc_id", "text"), F.col("doc_id") % 40 == F.col("item_id"))
-    return both.select("item_id", "doc_id", F.round(M.rerank_score(F.col("q"), F.col("text")), 6).alias("score"))
+    """The ten best chunks of each item by BM25, scored anew."""
+    own = cut_chunks(t)
+    found = lexical.top_k(lexical.index(own), asked(t), 10).select("query_id", "id").join(own.select("id", "text"), "id")
+    both = found.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    return both.select(F.col("query_id").alias("item_id"), "id", F.round(M.rerank_score(F.col("q"), F.col("text")), 6).alias("score"))
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 from quillon.catalog import Tables, query
 from quillon.operators import runlog as R
 from quillon.plans.runlog_queries import LOG, log_of, rounded
+from quillon.session import shared_folder
 from quillon.sources import readers, writers
 
 
 def _folder(t: Tables) -> str:
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/quillon-files-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/quillon-files-{uuid.uuid4().hex}"
 
 
 @query(f"with {LOG} select run_id, count(*) as n, round(coalesce(sum(case when entry_type = 'answer' then number end), 0), 4) as total from log group by run_id")
@@ -34,28 +33,28 @@ def embedding_store(t: Tables) -> DataFrame:
     return t.spark.read.parquet(at).select("vec_id", "hash_id", "label")
 
 
-@query("select doc_id, text from documents where doc_id % 7 = 0")
+@query("select doc_id, text from documents")
 def article_dump(t: Tables) -> DataFrame:
     """Compressed JSON lines of paragraphs, read back as articles."""
     at = _folder(t)
-    rows = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.array(F.array("text")).alias("text"))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.lit("t").alias("title"), F.array(F.array("text")).alias("text"))
     rows.write.option("compression", "bzip2").json(at)
     return readers.articles(t.spark, at).select(F.col("id").cast("long").alias("doc_id"), "text")
 
 
-@query("select doc_id, source as title, lang as entity, 'x' as alias from documents where doc_id < 50")
+@query("select doc_id, source as title, lang as entity, 'x' as alias from documents")
 def structured_documents(t: Tables) -> DataFrame:
     at = _folder(t)
-    rows = t.documents.where("doc_id < 50").select(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title")).alias("document"), F.array(F.struct(F.col("lang").alias("name"), F.lit("Person").alias("type"), F.array(F.lit("x")).alias("aliases"))).alias("entities"))
+    rows = t.documents.select(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title")).alias("document"), F.array(F.struct(F.col("lang").alias("name"), F.lit("Person").alias("type"), F.array(F.lit("x")).alias("aliases"))).alias("entities"))
     rows.write.json(at)
     back = t.spark.read.schema(readers.STRUCTURED).json(at)
     return back.select(F.col("document.id").cast("long").alias("doc_id"), "document.title", F.col("entities")[0]["name"].alias("entity"), F.col("entities")[0]["aliases"][0].alias("alias"))
 
 
-@query("select l_suppkey as src, l_partkey as dst, count(*) as weight from lineitem where l_partkey < 50 group by 1, 2")
+@query("select l_suppkey as src, l_partkey as dst, count(*) as weight from lineitem group by 1, 2")
 def graph_files(t: Tables) -> DataFrame:
     at = _folder(t)
-    edges = t.lineitem.where("l_partkey < 50").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    edges = t.lineitem.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
     writers.graph(edges.select(F.col("src").alias("node")).distinct(), edges, at)
     return t.spark.read.parquet(f"{at}/edges")
 

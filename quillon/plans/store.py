@@ -152,7 +152,7 @@ class CorpusStore:
     def query(self, question: str, k: int = 5) -> DataFrame:
         chunks = self.table("chunks").select(F.col("chunk_id").alias("id"), "doc_id", "text")
         asked = self.spark.createDataFrame([(0, question)], "query_id int, text string")
-        return lexical.top_k(lexical.index(chunks), chunks, asked, k).join(chunks, "id").orderBy("rank")
+        return lexical.top_k(lexical.index(chunks), asked, k).join(chunks, "id").orderBy("rank")
 
     def clear(self) -> None:
         self.initialize()

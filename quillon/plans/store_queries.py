@@ -11,10 +11,10 @@ from quillon.plans import store as M
 from quillon.plans.graph_queries import TRIPLES, triples
 
 
-@query("select c_custkey, c_name, case when c_custkey <= 500 then coalesce(case when c_custkey % 2 = 0 then 1.5 end, c_acctbal) else c_acctbal end as c_acctbal from customer where c_custkey <= 1000 union all select c_custkey, c_name, c_acctbal from customer where false")
+@query("select c_custkey, c_name, case when c_mktsegment = 'BUILDING' then coalesce(case when c_custkey % 2 = 0 then 1.5 end, c_acctbal) else c_acctbal end as c_acctbal from customer")
 def document_upsert(t: Tables) -> DataFrame:
-    have = t.customer.where("c_custkey <= 1000").select("c_custkey", "c_name", "c_acctbal")
-    new = t.customer.where("c_custkey <= 500").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, 1.5).alias("c_acctbal"))
+    have = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    new = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, 1.5).alias("c_acctbal"))
     return M.upsert(have, new, "c_custkey", ["c_acctbal"])
 
 

@@ -41,11 +41,10 @@ def vector_distances(t: Tables) -> DataFrame:
     return rounded(both.select("query_id", F.col("vec_id").alias("id"), *[V.distance(kind, F.col("embedding"), F.col("q")).alias(kind.lower()) for kind in ("L1", "L2", "Linf", "cosine")]))
 
 
-@query(f"with {V_SQL}, s as (select query_id, vec_id as id, list_dot_product(e, qe) as score from v, q where vec_id <> query_id), r as (select *, cast(row_number() over (partition by query_id order by score desc, id) as int) as r from s where score >= 0.1) select query_id, id, round(score, 6) as score from r where r <= 100")
+@query("with v as (select vec_id, cast(embedding as double[]) as e from embeddings), s as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.e, b.e) as score from v a join v b on a.vec_id <> b.vec_id), r as (select *, cast(row_number() over (partition by query_id order by score desc, id) as int) as r from s where score >= 0.1) select query_id, id, round(score, 6) as score from r where r <= 100")
 def synonym_graph(t: Tables) -> DataFrame:
     names = chunks(t).withColumn("name", F.concat(F.lit("entity "), "id"))
-    found = N.synonym_pairs(names, 0.1, 100)
-    return rounded(found.where("query_id < 10"))
+    return rounded(N.synonym_pairs(names, 0.1, 100))
 
 
 @query("with u as (select label, unnest(range(64)) as i, unnest(cast(embedding as double[])) as x from embeddings), m as (select label, i, avg(x) as x from u group by 1, 2) select label, list(round(x, 6) order by i) as mean from m group by label")

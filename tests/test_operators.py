@@ -79,7 +79,7 @@ def test_top_k_ties_and_empty(spark):
 def test_bm25_fills_with_zero(spark):
     chunks = spark.createDataFrame([("a", "x y"), ("b", "z"), ("c", "x")], "id string, text string")
     asked = spark.createDataFrame([(1, "z"), (2, "nothing")], "query_id int, text string")
-    got = [(r.query_id, r.id) for r in lexical.top_k(lexical.index(chunks), chunks, asked, 2).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r.id) for r in lexical.top_k(lexical.index(chunks), asked, 2).orderBy("query_id", "rank").collect()]
     assert got == [(1, "b"), (1, "a"), (2, "a"), (2, "b")]
 
 
