@@ -18,8 +18,8 @@ HOT_PARTS = 16384
 HOT_ROWS = 1000
 #: A set of so many numbers may be broadcast.
 SMALL = 1_000_000
-#: Most rows and bytes of an Arrow batch.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+#: Most rows and bytes of an Arrow batch. A worker's lists of words take some fifteen times the bytes of a batch of texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 19}
 _own: dict[str, str] = {}
 
 
