@@ -584,6 +584,18 @@ def test_lcs():
         assert decontam.lcs(a, b) == t[-1, -1]
 
 
+def test_sums_of_runs_of_rows():
+    rng = np.random.default_rng(5)
+    values = rng.standard_normal((50, 3)).astype(np.float32)
+    for sizes in ([1], [1, 1, 1], [700, 1, 64, 65, 128, 3], rng.integers(1, 200, 40).tolist()):
+        at, weights = rng.integers(0, 50, sum(sizes)), rng.random((sum(sizes), 1)).astype(np.float32)
+        starts = np.cumsum(sizes) - sizes
+        for w in (None, weights):
+            rows = values[at].astype(float) * (1 if w is None else w)
+            plain = [rows[a : a + n].sum(axis=0) for a, n in zip(starts, sizes, strict=True)]
+            np.testing.assert_allclose(decontam.sum_rows(values, at, w, starts), plain, atol=1e-3)
+
+
 def test_decontamination_of_common_items(spark):
     """An item in very many documents, whose words are thereby common, is found in all of them, also with words changed."""
     rng = np.random.default_rng(12)
