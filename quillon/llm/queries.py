@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, line_dedup, packing, sharding, simhash, token_counts, toxicity, vectors
+from . import chat, collocations, decontam, html_text, langid, line_dedup, packing, sharding, simhash, token_counts, toxicity, vectors, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.unionByName(extra))
 
 
-OPS = [op1_toxicity, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_sharding, op6_language_id, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_embedding_near_dedup, op10_chat_formatting]
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+OPS = [op1_toxicity, op2_line_dedup, op3_token_counts, op4_best_fit_packing, op5_sharding, op6_language_id, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_embedding_near_dedup, op10_chat_formatting, op11_collocations, op12_whitening, op13_html_extraction]
 
 SQL = {
     "op2_line_dedup": r"""
@@ -78,6 +90,21 @@ marked as (select k.doc_id, k.pos, k.line, h.keeper is not null and h.keeper <>
 select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op11_collocations": r"""
+with pieces as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+words as (select lang, w, unnest(range(1, len(w) + 1)) as i from lists),
+grams as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f from words, (select unnest(range(1, 5)) as k) where i + k - 1 <= len(w) group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang),
+candidates as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from grams where k > 1 and f >= 30),
+cuts as (select lang, k, phrase, w, a, unnest(range(1, k)) as c from candidates),
+scored as (select x.*, l.f as l, r.f as r, cast((cast(2000000 as hugeint) * a) // (cast(l.f as hugeint) + r.f) as bigint) as score
+           from cuts x join grams l on l.lang = x.lang and l.phrase = array_to_string(x.w[1 : x.c], ' ') join grams r on r.lang = x.lang and r.phrase = array_to_string(x.w[x.c + 1 : x.k], ' ')),
+weakest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inner_parts as (select lang, a, array_to_string(w[s : s + m - 1], ' ') as phrase from candidates, (select unnest(range(2, 4)) as m), (select unnest(range(1, 4)) as s) where m < k and s + m - 1 <= k),
+around as (select lang, phrase, max(a) as most from inner_parts group by all),
+alone as (select x.* from weakest x left join around y on x.lang = y.lang and x.phrase = y.phrase where most is null or 100 * cast(most as hugeint) < 80 * cast(a as hugeint))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from alone join totals using (lang) qualify rank <= 2000""",
     "op10_chat_formatting": """
 with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
                union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
