@@ -1,4 +1,4 @@
-"""Nearest vectors. Queries are a stated set, taken in blocks; all vectors stream past them once a block."""
+"""Nearest vectors. Few queries are broadcast and all vectors stream past them; many meet the vectors block by block."""
 
 from __future__ import annotations
 
@@ -9,11 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block: this bounds what is sent to the executors.
+#: So many queries at most are broadcast, and meet in one task where they are more.
 BLOCK = 4096
+#: So many vectors meet a block of queries in one task.
+PART = 16384
+#: Rows that are scored at a time, which bounds the matrix of scores.
+SLICE = 1024
+FOUND = "query_id long, id long, score double"
 
 
 def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if n and len(flat) % n == 0 and not column.null_count and (np.diff(column.offsets.to_numpy()) == len(flat) // n).all():
+        return flat.reshape(n, -1)
     return np.array(column.to_pylist(), np.float64)
 
 
@@ -22,53 +33,93 @@ def _scores(metric: str, x: np.ndarray, q: np.ndarray, epsilon: float) -> np.nda
         return x @ q.T
     if metric == "cosine":
         return x @ q.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :] + epsilon)
-    gaps = np.abs(x[:, None, :] - q[None, :, :])
-    return -{"L1": gaps.sum(2), "L2": np.sqrt((gaps * gaps).sum(2)), "Linf": gaps.max(2)}[metric]
+    out = np.empty((len(x), len(q)))
+    for j, one in enumerate(q):
+        gaps = np.abs(x - one)
+        out[:, j] = {"L1": lambda g: g.sum(1), "L2": lambda g: np.sqrt((g * g).sum(1)), "Linf": lambda g: g.max(1)}[metric](gaps)
+    return -out
+
+
+def _best(own: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int | None, metric: str, least: float | None, epsilon: float) -> list[np.ndarray]:
+    """query_id, id and score of the k best of these vectors for each of these queries."""
+    if k is not None and len(own) > k:
+        order = np.argsort(own, kind="stable")
+        own, x = own[order], x[order]
+    s = _scores(metric, x, q, epsilon)
+    at = np.argsort(-s, axis=0, kind="stable")[:k] if k is not None and len(own) > k else np.broadcast_to(np.arange(len(own))[:, None], s.shape)
+    col = np.broadcast_to(np.arange(s.shape[1])[None, :], at.shape)
+    score = s[at, col]
+    on = np.ones(score.shape, bool) if least is None else score >= least
+    return [ids[col[on]], own[at[on]], score[on]]
 
 
 def top_k(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", least: float | None = None, epsilon: float = 1e-9) -> DataFrame:
     """(query_id, id, score, rank) for items and queries (id, vector): the k best of each query, at least least; ties by id.
 
     metric is cosine, dot, or a distance L1, L2 or Linf (its score is negative). Each batch keeps its own k best of each
-    query, so what is shuffled is k rows a query and batch. Without k, all pairs that reach least.
+    query, so what is shuffled is k rows a query and batch. Up to BLOCK queries are broadcast; more never pass the driver,
+    see blocked. Without k, all pairs that reach least.
     """
-    out, block = None, []
-    names = list(queries.columns)
-    for row in [*queries.select(*names).toLocalIterator(), None]:
-        if row is not None:
-            block.append((row[0], list(row[1])))
-        if block and (row is None or len(block) == BLOCK):
-            part = _block(items, block, k, metric, least, epsilon)
-            out, block = part if out is None else out.unionByName(part), []
-    if out is None:
-        return items.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = out.withColumn("rank", F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
-
-
-def _block(items: DataFrame, block: list, k: int | None, metric: str, least: float | None, epsilon: float) -> DataFrame:
-    shared = items.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float64)))
+    item, query = items.columns[:2], queries.columns[:2]
+    items, queries = items.select(F.col(item[0]).cast("long").alias("id"), F.col(item[1]).alias("vector")), queries.select(F.col(query[0]).cast("long").alias("id"), F.col(query[1]).alias("vector"))
+    few = queries.limit(BLOCK + 1).collect()
+    if not few:
+        return items.sparkSession.createDataFrame([], f"{FOUND}, rank int")
+    if len(few) <= BLOCK:
+        out = _streamed(items, few, k, metric, least, epsilon)
+    else:
+        one = F.lit(0).alias("cell")
+        out = blocked(items.select("*", one), queries.select("*", one), k, metric, least, epsilon)
+    return ranked(out, k)
+
+
+def ranked(found: DataFrame, k: int | None) -> DataFrame:
+    out = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def _streamed(items: DataFrame, block: list, k: int | None, metric: str, least: float | None, epsilon: float) -> DataFrame:
+    shared = items.sparkSession.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), np.array([list(b[1]) for b in block], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            s = _scores(metric, x, q, epsilon)
-            if k is not None and len(own) > k:
-                order = np.argsort(own, kind="stable")
-                own, s = own[order], s[order]
-                at = np.argsort(-s, axis=0, kind="stable")[:k]
-            else:
-                at = np.broadcast_to(np.arange(len(own))[:, None], s.shape)
-            col = np.broadcast_to(np.arange(s.shape[1])[None, :], at.shape)
-            score = s[at, col]
-            on = np.ones(score.shape, bool) if least is None else score >= least
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col[on]]), pa.array(own[at[on]]), pa.array(score[on])], ["query_id", "id", "score"])
-
-    return items.select(items.columns[0], items.columns[1]).mapInArrow(run, "query_id long, id long, score double")
+            if batch.num_rows:
+                found = _best(batch.column(0).to_numpy(), _matrix(batch.column(1)), ids, q, k, metric, least, epsilon)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "id", "score"])
+
+    return items.mapInArrow(run, FOUND)
+
+
+def blocked(items: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", least: float | None = None, epsilon: float = 1e-9) -> DataFrame:
+    """(query_id, id, score): the k best of each part for queries and items (id, vector, cell) that share a cell.
+
+    Both sides stay distributed. A cell's items are dealt by id into parts of about PART rows, its queries into blocks of
+    about BLOCK; each part meets each block in a task of its own, so no task grows with a cell. The plan has the same size
+    whatever the number of queries. Cells must be few enough to be counted on the driver.
+    """
+    cells = {r.cell: [r.n, 0] for r in items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+        cells.setdefault(r.cell, [0, 0])[1] = r.n
+    spark = items.sparkSession
+    sizes = F.broadcast(spark.createDataFrame([(c, max(1, -(-n // PART)), max(1, -(-m // BLOCK))) for c, (n, m) in cells.items() if n and m] or [(None, 1, 1)], "cell int, parts int, blocks int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    left = items.join(sizes, "cell").select("cell", dealt("parts").alias("part"), upto("blocks").alias("block"), "id", "vector")
+    right = queries.join(sizes, "cell").select("cell", upto("parts").alias("part"), dealt("blocks").alias("block"), "id", "vector")
+
+    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if own.num_rows and asked.num_rows:
+            ids, x = own["id"].to_numpy(), _matrix(own["vector"])
+            q_ids, q = asked["id"].to_numpy(), _matrix(asked["vector"])
+            for s in range(0, len(q_ids), SLICE):
+                for c, part in zip(found, _best(ids, x, q_ids[s : s + SLICE], q[s : s + SLICE], k, metric, least, epsilon), strict=True):
+                    c.append(part)
+        return pa.table([pa.array(np.concatenate(c)) for c in found], ["query_id", "id", "score"])
+
+    keys = ["cell", "part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
 
 
 def min_max(scores: DataFrame, value: str = "score", by: str = "query_id") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **more: str) -> SparkSession:
@@ -30,3 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or tempfile.mkdtemp(prefix="quillon-")).rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, so no executor's loss costs what made it; see forget."""
+    path = f"{shared_folder(df.sparkSession)}/quillon-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._quillon_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it."""
+    for df in tables:
+        if path := getattr(df, "_quillon_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
