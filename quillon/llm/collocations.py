@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import Window
 from .common import bound_batches, cut, forget, join_hot
 
 #: A shard holds at most so many words and marks of one language; a task holds at most HELD of all languages.
-SHARD, HELD = 1 << 20, 1 << 22
-#: Bits of the filter of frequent pairs: at least so many for each pair, and so many in all.
+SHARD, HELD = 1 << 19, 1 << 21
+#: Bits of a filter: so many for each key, and so many in all.
 BITS_EACH, BITS = 16, 28
 #: The best of a language are found in so many parts first.
 SALTS = 64
@@ -87,58 +88,125 @@ def _shards(docs: DataFrame, reach: int) -> DataFrame:
     return own.mapInArrow(run, "lang string, own int, ids binary, words array<string>, counts array<long>").withColumn("shard", F.monotonically_increasing_id())
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of ids in order of their first depth ids, by prefix doubling: each round ranks twice the length."""
-    rank, n, done = ids.astype(np.int64), len(ids), 1
-    order = np.argsort(rank, kind="stable") if depth == 1 else None
+def suffix_array(ids: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the suffixes of ids in order of their first depth ids, by prefix doubling: each round ranks twice the length.
+
+    With at, only the suffixes that start there are ordered.
+    """
+    n, done = len(ids), 1
+    rank, at = ids.astype(np.int64), np.arange(n) if at is None else at
     while done < depth:
         after = np.zeros(n, np.int64)
         after[: max(n - done, 0)] = rank[done:] + 1
         key = rank * (int(rank.max(initial=0)) + 2) + after
+        done *= 2
+        if done >= depth:
+            return at[np.argsort(key[at], kind="stable")]
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([False], ordered[1:] != ordered[:-1]))[:n])
-        done *= 2
-    return order
+    return at[np.argsort(rank[at], kind="stable")]
 
 
-def intervals(ids: np.ndarray, links: np.ndarray, own: int, shortest: int, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, count) of every different phrase of shortest to longest ids that starts before own, one pair of arrays a length.
+def intervals(ids: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, count) of every different phrase of k ids among those that start at at.
 
-    links[i] says whether ids[i] and ids[i + 1] may stand in one phrase, and depends on these two alone. The LCP of
-    neighbouring suffixes is what they have in common, up to longest; the suffixes of an LCP interval of at least k are
-    the occurrences of a phrase of k ids.
+    The LCP of neighbouring suffixes is what they have in common, up to k; the suffixes of an LCP interval of k are the
+    occurrences of one phrase.
     """
-    n = len(ids)
-    wide = np.concatenate((ids, np.zeros(longest, ids.dtype)))
-    joined = np.concatenate((links[: max(n - 1, 0)], np.zeros(longest + 1, bool)))
-    length, open_ = np.ones(n, np.int64), np.ones(n, bool)
-    for k in range(1, longest):
-        open_ &= joined[k - 1 : k - 1 + n]
-        length += open_
-    wanted = length >= shortest
-    wanted[own:] = False
-    order = suffix_array(ids, longest)
-    order = order[wanted[order]]
-    if not len(order):
-        return [(order, order)] * (longest - shortest + 1)
+    if not len(at):
+        return at, at
+    wide = np.concatenate((ids, np.zeros(k, ids.dtype)))
+    order = suffix_array(ids, k, at)
     lcp, same = np.zeros(len(order) - 1, np.int64), np.ones(len(order) - 1, bool)
-    for k in range(longest):
-        same &= wide[order[1:] + k] == wide[order[:-1] + k]
+    for j in range(k):
+        same &= wide[order[1:] + j] == wide[order[:-1] + j]
         lcp += same
-    out = []
-    for k in range(shortest, longest + 1):
-        starts = np.flatnonzero(np.concatenate(([True], lcp < k)))
-        first, counts = order[starts], np.diff(np.append(starts, len(order)))
-        whole = length[first] >= k
-        out.append((first[whole], counts[whole]))
-    return out
+    starts = np.flatnonzero(np.concatenate(([True], lcp < k)))
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
+def _slot(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """Where a filter keeps a run of numbers."""
+    x = np.zeros(len(words[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words:
+            x = (x + w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _crc(lang: str, words: list[str]) -> np.ndarray:
+    start = zlib.crc32(lang.encode() + b"\n")
+    return np.fromiter((zlib.crc32(w.encode(), start) for w in words), np.int64, len(words))
+
+
+class Filter:
+    """A bitmap of frequent keys: it has a bit for each of them and few others.
+
+    It has BITS_EACH bits a key but never more than 2^BITS (32 MB), and so may be broadcast at any size; the fuller it is,
+    the more is counted for nothing.
+    """
+
+    def __init__(self, keys: DataFrame, numbers):
+        """numbers gives the columns of numbers that stand for the rows of a batch of keys."""
+        self.bits = bits = min(BITS, max(15, math.ceil(math.log2(max(keys.count(), 1) * BITS_EACH))))
+
+        def slots(batches):
+            for batch in batches:
+                slot = np.unique(_slot(numbers(batch), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array((slot & 32767).astype(np.int32))], ["block", "bit"])
+
+        def blocks(batches):
+            block, held = None, np.zeros(32768, bool)
+            for batch in batches:
+                tags, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for tag in np.unique(tags).tolist():
+                    if tag != block and block is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(held).tobytes()], pa.binary())], ["block", "bits"])
+                        held[:] = False
+                    block = tag
+                    held[bit[tags == tag]] = True
+            if block is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(held).tobytes()], pa.binary())], ["block", "bits"])
+
+        out = np.zeros(1 << bits >> 3, np.uint8)
+        found = keys.mapInArrow(slots, "block long, bit int").distinct().repartition("block").sortWithinPartitions("block").mapInArrow(blocks, "block long, bits binary")
+        for row in found.toLocalIterator():
+            out[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(row.bits, np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(out)
+
+    def test(self):
+        """A function of columns of numbers, for tasks."""
+        bits, sent = self.bits, self.sent
+
+        def on(words: list[np.ndarray]) -> np.ndarray:
+            slot = _slot(words, bits)
+            return (sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+        return on
 
 
 def _numbered(shards: DataFrame, frequent: DataFrame) -> DataFrame:
     """(own, ids, numbers): the shards with only frequent words as ids 1, 2, …, all others as 0, and the number of each id in frequent."""
-    at = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(frequent.select("lang", "word", "id"), ["lang", "word"])
+
+    def by_lang(batch):
+        langs = batch.column(0).to_pylist()
+        return [np.concatenate([_crc(lang, [w]) for lang, w in zip(langs, batch.column(1).to_pylist(), strict=True)] or [np.zeros(0, np.int64)])]
+
+    test = Filter(frequent.select("lang", "word"), by_lang).test()
+
+    def likely(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                lang, words = batch.column(1)[i].as_py(), batch.column(2)[i].values
+                at = np.flatnonzero(test([_crc(lang, words.to_pylist())]))
+                for s in range(0, len(at), 50_000):
+                    some = pa.array(at[s : s + 50_000].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), batch.column(0)[i].as_py())), pa.array([lang] * len(some), pa.string()), some, words.take(some)], ["shard", "lang", "at", "word"])
+
+    at = shards.select("shard", "lang", "words").mapInArrow(likely, "shard long, lang string, at int, word string").join(frequent.select("lang", "word", "id"), ["lang", "word"])
     maps = at.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("map"))
     joined = shards.select("shard", "own", "ids").join(maps, "shard").select("own", "ids", F.col("map.at").alias("at"), F.col("map.id").alias("id"))
 
@@ -155,74 +223,33 @@ def _numbered(shards: DataFrame, frequent: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "own int, ids binary, numbers binary")
 
 
-def _slot(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """Where the filter keeps a pair of numbers."""
-    with np.errstate(over="ignore"):
-        x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+KEY = ["w1", "w2", "w3", "w4"]
 
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of the frequent pairs: it has a bit for each of them and few others.
+def _grams(numbered: DataFrame, k: int, least: int, filters: list[Filter]) -> DataFrame:
+    """(w1, w2, w3, w4, f) of the phrases of k words found at least least times; unused places are 0.
 
-    It has BITS_EACH bits a pair but never more than 2^BITS (32 MB), and so may be broadcast at any size; the fuller it
-    is, the more phrases are counted for nothing.
+    filters are those of the phrases of 2 to k - 1 words: a phrase is counted where both phrases of one word less are.
     """
-    bits = min(BITS, max(15, math.ceil(math.log2(max(pairs.count(), 1) * BITS_EACH))))
-
-    def slots(batches):
-        for batch in batches:
-            slot = np.unique(_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array((slot & 32767).astype(np.int32))], ["block", "bit"])
-
-    def blocks(batches):
-        block, held = None, np.zeros(32768, bool)
-        for batch in batches:
-            tags, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for tag in np.unique(tags).tolist():
-                if tag != block and block is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(held).tobytes()], pa.binary())], ["block", "bits"])
-                    held[:] = False
-                block = tag
-                held[bit[tags == tag]] = True
-        if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.packbits(held).tobytes()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    found = pairs.select("w1", "w2").mapInArrow(slots, "block long, bit int").distinct().repartition("block").sortWithinPartitions("block").mapInArrow(blocks, "block long, bits binary")
-    for row in found.toLocalIterator():
-        out[row.block << 12 : (row.block + 1) << 12] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-KEY = ["w1", "w2", "w3", "w4"]
-
-
-def _grams(numbered: DataFrame, shortest: int, longest: int, least: int, bitmap: np.ndarray | None) -> DataFrame:
-    """(w1, w2, w3, w4, f) of the phrases of shortest to longest words found at least least times; unused places are 0."""
-    spark = numbered.sparkSession
-    sent = None if bitmap is None else spark.sparkContext.broadcast(bitmap)
+    tests = [f.test() for f in filters]
 
     def run(batches):
         for batch in batches:
             for own, raw, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, numbers = np.frombuffer(raw, np.int32), np.frombuffer(names, np.int64)
-                links = (ids[:-1] > 0) & (ids[1:] > 0)
-                if sent is not None:
-                    at = np.flatnonzero(links)
-                    slot = _slot(numbers[ids[at]], numbers[ids[at + 1]], int(math.log2(len(sent.value))) + 3)
-                    links[at] = (sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-                wide = np.concatenate((ids, np.zeros(longest, np.int32)))
-                for k, (start, counts) in enumerate(intervals(ids, links, own, shortest, longest), shortest):
-                    for s in range(0, len(start), 100_000):
-                        some = start[s : s + 100_000]
-                        words = [numbers[wide[some + j]] if j < k else np.zeros(len(some), np.int64) for j in range(4)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(counts[s : s + 100_000])], [*KEY, "c"])
-
-    found = numbered.mapInArrow(run, "w1 long, w2 long, w3 long, w4 long, c long")
-    return found.groupBy(*KEY).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+                at = np.flatnonzero(ids > 0)
+                for size, test in enumerate([None, *tests], 1):  # starts of phrases of size + 1 words whose parts may be frequent
+                    fine = np.zeros(len(ids) + 1, bool)
+                    fine[at if test is None else at[test([numbers[ids[at + j]] for j in range(size)])]] = True
+                    at = np.flatnonzero(fine[:-1] & fine[1:])
+                start, counts = intervals(ids, k, at[at < own])
+                for s in range(0, len(start), 100_000):
+                    some = start[s : s + 100_000]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(numbers[ids[some + j]]) for j in range(k)], pa.array(counts[s : s + 100_000])], [*KEY[:k], "c"])
+
+    found = numbered.mapInArrow(run, ", ".join(f"{w} long" for w in KEY[:k]) + ", c long")
+    total = found.groupBy(*KEY[:k]).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    return total.select(*KEY[:k], *[F.lit(0).cast("long").alias(w) for w in KEY[k:]], "f")
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -282,9 +309,9 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, percent: int = 80,
     Tasks turn their texts into shards of one language: ids of the shard's own words, at most SHARD of them. Word counts
     of all shards give the frequent words; the rest ends a phrase, since none with it can be frequent. Shards learn the
     numbers of their frequent words by a join. Then each shard's suffix array and LCP intervals give its pairs, whose
-    counts are added up by key over all shards; likewise, for phrases all of whose pairs are frequent, those of three
-    words and more. Nothing is approximate: a phrase is as frequent as its parts at most, so what is passed over could
-    never be a candidate.
+    counts are added up by key over all shards; likewise phrases of three words both of whose pairs are frequent, and so
+    on. Nothing is approximate: a phrase is as frequent as its parts at most, so what is passed over could never be a
+    candidate.
 
     Null texts are empty, null languages are und (with those so named). Repeated rows count each; a language without a
     candidate and an empty table give no rows; texts of any length are cut into shards that overlap by longest - 1 words;
@@ -295,14 +322,17 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, percent: int = 80,
     shards = cut(_shards(docs, longest - 1), "shards")
     totals = cut(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")), "totals")
     words = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
-    frequent = cut(words.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1), "words")
+    # in order of frequency, so that most numbers are small
+    frequent = cut(words.where(F.col("f") >= least).orderBy(F.desc("f"), "lang", "word").withColumn("id", F.monotonically_increasing_id() + 1), "words")
     numbered = cut(_numbered(shards, frequent), "numbered")
     forget(shards)
-    pairs = cut(_grams(numbered, 2, 2, least, None), "pairs")
-    grams = frequent.select(F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in KEY[1:]], "f").unionByName(pairs)
-    if longest > 2:
-        more = cut(_grams(numbered, 3, longest, least, _filter(pairs)), "phrases")
-        grams = grams.unionByName(more)
+    grams = frequent.select(F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in KEY[1:]], "f")
+    filters: list[Filter] = []
+    for k in range(2, longest + 1):
+        found = cut(_grams(numbered, k, least, filters), f"phrases{k}")
+        grams = grams.unionByName(found)
+        if k < longest:
+            filters.append(Filter(found.select(*KEY[:k]), lambda batch: [c.to_numpy() for c in batch.columns]))
     forget(numbered)
     left = cut(_alone(cut(_scored(grams, longest), "scored"), longest, percent), "candidates")
     each = left.select(*KEY, F.posexplode(F.array(*KEY)).alias("at", "id")).where(F.col("id") > 0)
