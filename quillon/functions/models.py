@@ -59,6 +59,14 @@ def answer(question: Column, fixed: str = "F") -> Column:
     return F.lit(fixed)
 
 
+def next_thought(question: Column, passages: Column, thoughts: Column, words: int = 12) -> Column:
+    """The start of the first passage that no thought is from yet; an answer once there is none, or after the second thought."""
+    starts = F.transform(passages, lambda p: F.array_join(F.slice(T.words(p), 1, words), " "))
+    fresh = F.try_element_at(F.filter(starts, lambda s: ~F.array_contains(thoughts, s)), F.lit(1))
+    closing = F.concat(F.lit("So the answer is: "), F.coalesce(F.try_element_at(starts, F.lit(1)), question))
+    return F.when((F.size(thoughts) >= 2) | fresh.isNull(), closing).otherwise(fresh)
+
+
 def rerank_score(question: Column, passage: Column) -> Column:
     """The share of the question's words that a passage has."""
     q = F.array_distinct(T.tokens(question))
