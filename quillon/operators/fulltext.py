@@ -17,11 +17,11 @@ def _tokens(field: Column, kind: str) -> Column:
     return T.tokens(F.array_join(field, " ") if kind.startswith("array") else field.cast("string"))
 
 
-def postings(nodes: DataFrame, fields: list[str]) -> DataFrame:
-    """(id, field, term, tf, length) of nodes; a null or empty field has none. Terms are counted inside their row, without a shuffle."""
+def tokens(nodes: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, field, t): the tokens of each field of nodes that has any."""
     kinds = dict(nodes.dtypes)
-    each = nodes.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(_tokens(F.col(f), kinds[f]), F.array().cast("array<string>")).alias("t")) for f in fields])).alias("x"))
-    return lexical.exploded(lexical.counted(each.select("id", "x.field", "x.t"), "t")).select("id", "field", "term", "tf", "length")
+    each = nodes.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _tokens(F.col(f), kinds[f]).alias("t")) for f in fields])).alias("x"))
+    return each.select("id", "x.field", "x.t").where(F.size("t") > 0)
 
 
 def search(nodes: DataFrame, queries: DataFrame, fields: list[str], k: int = 10, k1: float = 1.2, b: float = 0.75, boost: dict[str, float] | None = None) -> DataFrame:
@@ -32,16 +32,15 @@ def search(nodes: DataFrame, queries: DataFrame, fields: list[str], k: int = 10,
     at once (broadcast while they are few), so only those are ever counted or moved. Nodes without an asked term are not
     found.
     """
-    kinds = dict(nodes.dtypes)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = asked.select("term").distinct()
     few = terms.limit(lexical.SMALL + 1).count() <= lexical.SMALL
     small = F.broadcast if few else lambda df: df
-    met = postings(nodes, fields).join(small(terms), "term")
+    said = tokens(nodes, fields)
+    met = lexical.of_tokens(said, ["id", "field"], terms, few)
     df = met.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = nodes.select(*[F.size(_tokens(F.col(f), kinds[f])).alias(f) for f in fields])
-    stats = [x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"n_{f}"), F.sum(F.greatest(F.col(f), F.lit(0))).alias(f"all_{f}"))]
-    sizes = lengths.agg(*stats).select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n"), (F.col(f"all_{f}") / F.nullif(F.col(f"n_{f}"), F.lit(0))).alias("average"), F.lit((boost or {}).get(f, 1.0)).alias("boost")) for f in fields])).alias("x")).select("x.*")
+    boosts = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(float((boost or {}).get(f, 1.0))))])
+    sizes = said.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("average")).withColumn("boost", boosts[F.col("field")])
     weighed = df.join(F.broadcast(sizes), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     scored = met.join(small(weighed), ["field", "term"]).select("id", "term", (F.col("boost") * F.col("idf") * part).alias("part")).groupBy("id", "term").agg(F.sum("part").alias("part"))

@@ -15,50 +15,44 @@ SMALL = 1_000_000
 
 @dataclass
 class Index:
-    """postings: id, term, tf, length; terms: term, df; sizes: a row of n and average length; ids: id of every chunk."""
+    """rows: postings (id, term, tf, length), or tokens (id, t) that become some; terms: term, df; sizes: a row of n and average length; ids: id of every chunk."""
 
-    postings: DataFrame
+    rows: DataFrame
     terms: DataFrame
     sizes: DataFrame
     ids: DataFrame
 
+    def postings(self, wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
+        """Postings, only those of the terms of wanted if it is given. Tokens are joined to these (broadcast if small) before anything is counted or moved."""
+        if "tf" in self.rows.columns:
+            return self.rows if wanted is None else self.rows.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+        return of_tokens(self.rows, ["id"], wanted, small)
 
-def counted(rows: DataFrame, tokens: str) -> DataFrame:
-    """rows with length and counts (array of term and tf) in place of an array of tokens: counted inside the row, without a shuffle.
 
-    The sorted tokens are compared with themselves one place on, which shows where each run of equal ones starts. Arrays
-    are only arguments of the functions over them and never part of what is computed for each element.
-    """
-    ordered = rows.withColumn("_s", F.array_sort(tokens)).drop(tokens)
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "_s"), F.lit(1), F.size("_s"))
-    marked = F.transform(F.zip_with("_s", before, lambda x, y: F.when(~x.eqNullSafe(y), x)), lambda x, i: F.struct(x.alias("term"), i.alias("at")))
-    runs = ordered.withColumn("_r", F.filter(marked, lambda m: m["term"].isNotNull()))
-    after = F.slice(F.concat("_r", F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("_s").alias("at")))), F.lit(2), F.size("_r"))
-    counts = F.zip_with("_r", after, lambda x, y: F.struct(x["term"].alias("term"), (y["at"] - x["at"]).cast("long").alias("tf")))
-    return runs.withColumns({"length": F.size("_s"), "counts": counts}).drop("_s", "_r")
-
-
-def exploded(rows: DataFrame) -> DataFrame:
-    """A row for each of counts."""
-    return rows.withColumn("_x", F.explode("counts")).withColumns({"term": F.col("_x.term"), "tf": F.col("_x.tf")}).drop("_x", "counts")
+def of_tokens(tokens: DataFrame, keys: list[str], wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
+    """(keys, term, length, tf) from (keys, t), see Index.postings."""
+    each = tokens.select(*keys, F.size("t").alias("length"), F.explode("t").alias("term"))
+    if wanted is not None:
+        each = each.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    return each.groupBy(*keys, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def postings(chunks: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, length) of chunks, each by itself: nothing is shuffled."""
-    return exploded(counted(chunks.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("t")), "t")).select("id", "term", "tf", "length")
+    """(id, term, tf, length) of chunks: terms are counted on the map side before they are shuffled."""
+    return of_tokens(chunks.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("t")), ["id"])
 
 
 def of_postings(table: DataFrame, chunks: DataFrame, id_: str = "id") -> Index:
-    """The index of a written table of postings, in which every chunk with a token has one."""
+    """The index of a written table of postings."""
     sizes = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(table.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all")))  # one row each
     return Index(table, table.groupBy("term").agg(F.count(F.lit(1)).alias("df")), sizes.select("n", (F.col("all") / F.col("n")).alias("average")), chunks.select(F.col(id_).alias("id")))
 
 
 def index(chunks: DataFrame, id_: str = "id", text: str = "text") -> Index:
-    """An index that is a plan only: frequencies, sizes and postings are each one pass over the chunks, and nothing is kept."""
+    """An index that is a plan only: frequencies, sizes and the postings that are asked for are each one pass over the chunks, and nothing is kept."""
     t = chunks.select(F.col(id_).alias("id"), T.tokens(F.col(text)).alias("t"))
     terms = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return Index(postings(chunks, id_, text), terms, t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("average")), t.select("id"))
+    return Index(t, terms, t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("average")), t.select("id"))
 
 
 def weights(ix: Index, kind: str = "okapi", epsilon: float = 0.25) -> DataFrame:
@@ -81,7 +75,7 @@ def term_scores(ix: Index, queries: DataFrame, kind: str = "okapi", k1: float =
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     small = asked.count() <= SMALL
     found = weights(ix, kind).join(F.broadcast(asked) if small else asked, "term")
-    met = ix.postings.join(F.broadcast(found) if small else found, "term").crossJoin(F.broadcast(ix.sizes))
+    met = ix.postings(asked.select("term").distinct(), small).join(F.broadcast(found) if small else found, "term").crossJoin(F.broadcast(ix.sizes))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     return met.select("query_id", "term", "id", (F.col("times") * F.col("idf") * tf).alias("score"))
 

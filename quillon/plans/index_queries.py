@@ -17,7 +17,7 @@ from quillon.plans.lexical_queries import CHUNKS, TOK
 from quillon.plans.lexical_queries import chunks as cut_chunks
 from quillon.plans.lexical_queries import questions as asked
 from quillon.plans.runlog_queries import rounded
-from quillon.session import shared_folder
+from quillon.session import shared_folder, written
 
 V = "v as (select vec_id, cast(embedding as double[]) as e from embeddings)"
 COSINE = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-9)"
@@ -146,7 +146,7 @@ def corpus_summary_tree(t: Tables) -> DataFrame:
 def retrieval_rounds(t: Tables) -> DataFrame:
     """Every item in up to three rounds of BM25, each thought the start of the best passage not thought of yet."""
     own = cut_chunks(t)
-    ix = lexical.index(own)
+    ix = lexical.of_postings(written(lexical.postings(own), "postings"), own)
     found, state = rounds.iterate(asked(t).withColumnRenamed("text", "question"), own.select("id", "text"), lambda q: lexical.top_k(ix, q, 5), models.next_thought)
     return rounded(found.where("rank <= 5").join(state.select("query_id", "rounds"), "query_id").select("query_id", "id", "score", "rank", "rounds"))
 

@@ -53,11 +53,17 @@ def test_metadata_defaults(spark):
     assert out == [{"a": "1", "b": "3"}, {"a": "2"}, {}, {"a": None}]
 
 
-def test_counted_tokens(spark):
-    df = spark.createDataFrame([(1, ["b", "a", "b", "c", "a", "b"]), (2, []), (3, ["x"]), (4, None)], "id int, t array<string>")
-    out = {r.id: (r.length, None if r.counts is None else [tuple(c) for c in r.counts]) for r in lexical.counted(df, "t").collect()}
-    assert out[1] == (6, [("a", 2), ("b", 3), ("c", 1)]) and out[3] == (1, [("x", 1)]) and not out[2][1] and not out[4][1]
-    assert "Exchange" not in lexical.postings(spark.createDataFrame([(1, "a b")], "id int, text string"))._jdf.queryExecution().toString()
+def test_index_of_tokens_and_of_postings(spark):
+    chunks = spark.createDataFrame([(1, "b a b, C a b"), (2, ""), (3, "x"), (4, None)], "id int, text string")
+    rows = sorted((r.id, r.term, r.tf, r.length) for r in lexical.postings(chunks).collect())
+    assert rows == [(1, "a", 2, 6), (1, "b", 3, 6), (1, "c", 1, 6), (3, "x", 1, 1)]
+    lazy, kept = lexical.index(chunks.where("id < 4")), lexical.of_postings(lexical.postings(chunks.where("id < 4")), chunks.where("id < 4"))
+    wanted = spark.createDataFrame([("b",), ("x",), ("y",)], "term string")
+    q = spark.createDataFrame([(1, "b b x"), (2, "y")], "query_id int, text string")
+    for ix in (lazy, kept):
+        assert sorted((r.id, r.term, r.tf) for r in ix.postings(wanted, True).collect()) == [(1, "b", 3), (3, "x", 1)] and ix.postings().count() == 4
+    found = [sorted((r.query_id, r.id, round(r.score, 9), r["rank"]) for r in lexical.top_k(ix, q, 2).collect()) for ix in (lazy, kept)]
+    assert found[0] == found[1] and len(found[0]) == 4
 
 
 def test_fields(spark):
