@@ -135,6 +135,13 @@ def mean_pool(vectors: DataFrame, group: str, vector: str, dim: int) -> DataFram
     return vectors.groupBy(group).agg(F.array(*means).alias("mean"))
 
 
+def masked_mean(vectors: DataFrame, group: str, vector: str, mask: str, dim: int) -> DataFrame:
+    """Element-wise sums of vectors times mask by the sum of mask, which counts as 1e-9 at least. Null masks are 0."""
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    sums = [F.sum(F.col(vector)[i].cast("double") * weight) for i in range(dim)]
+    return vectors.groupBy(group).agg(F.greatest(F.sum(weight), F.lit(1e-9)).alias("_n"), F.array(*sums).alias("_s")).select(group, F.transform("_s", lambda x: x / F.col("_n")).alias("mean"))
+
+
 def synonym_pairs(entities: DataFrame, least: float = 0.8, most: int = 100) -> DataFrame:
     """(query_id, id, score) of each entity's neighbours, for entities (id, vector, name) with more than two letters or digits."""
     usable = F.length(F.regexp_replace("name", r"[^A-Za-z0-9]", "")) > 2

@@ -77,7 +77,8 @@ def greedy_articles(t: Tables) -> DataFrame:
     return lines.join(F.broadcast(by), "s", "left").groupBy("o_orderkey").agg(F.count_if(late).alias("late")).where("late = 0").select(F.col("o_orderkey").alias("question"))
 
 
-@query()
+@query(r"""with e as (select doc_id, regexp_extract_all(text, '\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*') as e from documents), u as (select doc_id, unnest(e) as w, unnest(range(len(e))) as i from e), d as (select doc_id, w, min(i) as i from u group by all),
+n as (select doc_id as chunk, cast(row_number() over (partition by doc_id order by i) - 1 as int) as pos, w as s, 'occurs with' as r, lead(w) over (partition by doc_id order by i) as o, 1 as rank from d) select * from n where o is not null""")
 def entity_triples(t: Tables) -> DataFrame:
     return M.cooccurrences(t.documents.select(F.col("doc_id").alias("id"), "text"))
 

@@ -79,3 +79,19 @@ def token_budget_prefix(t: Tables) -> DataFrame:
 
     found = N.top_k(chunks(t), questions(t), None, "dot").withColumn("size", 100 + F.col("id"))
     return fusion.token_prefix(found, "size", 3500).select("query_id", "id", "rank")
+
+
+@query(f"with {V_SQL}, s as (select query_id, vec_id as id, list_dot_product(e, qe) as score from v, q), r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s), t as (select *, sum(100 + id) over (partition by query_id order by rank) - 100 - id as before from r) select query_id, id, cast(rank as int) as rank from t where before <= 3500")
+def token_budget_range(t: Tables) -> DataFrame:
+    """The nearest chunks up to and with the one whose size passes the budget."""
+    from quillon.operators import fusion
+
+    found = N.top_k(chunks(t), questions(t), None, "dot").withColumn("size", 100 + F.col("id"))
+    return fusion.token_prefix(found, "size", 3500, inclusive=True).select("query_id", "id", "rank")
+
+
+@query("with u as (select label, vec_id % 3 as mask, unnest(range(64)) as i, unnest(cast(embedding as double[])) as x from embeddings), m as (select label, i, sum(x * mask) / greatest(sum(mask), 1e-9) as x from u group by 1, 2) select label, list(round(x, 6) order by i) as mean from m group by label")
+def masked_mean_pool(t: Tables) -> DataFrame:
+    """Means weighted by a mask of 0, 1 and 2."""
+    own = t.embeddings.withColumn("mask", F.col("vec_id") % 3)
+    return N.masked_mean(own, "label", "embedding", "mask", 64).select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
