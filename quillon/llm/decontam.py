@@ -22,6 +22,8 @@ VOCABULARY, ITEMS = 1_000_000, 2000
 PASSAGE, RANK, EXTRA = 64, 32, 8
 #: Besides what an item may miss, so large a part of its words (and at least two) counts among its rare ones, see Rare.
 SPARE = 0.3
+#: Items of fewer words have no paraphrases, see find_leaks; and so much of an item's weight lies in its rare words.
+PARAPHRASED, HEAVY = 12, 0.8
 #: Window lengths for items grow by this factor; windows start every half of their length, or more often.
 GROWTH = 1.5
 #: Numbers of matrix entries and of words that are worked on at a time.
@@ -223,11 +225,14 @@ class Rare:
     A region with the share similarity of an item's n words lacks at most n - similarity n of them, so it has all but as
     many of the item's rare ones, which are its rarest words until they are that many and SPARE more. If only the share
     loose is there, the answer stands in one run, so its first three words do.
+
+    The rare words also carry at least HEAVY of an item's weight, so a region with the part of that weight that a
+    paraphrase needs has all of it but the rest in them.
     """
 
-    def __init__(self, items: Items, members: list[int], passages: np.ndarray, similarity: float, loose: float):
-        terms, owners, times = [], [], []
-        self.need = np.zeros(len(members), np.int64)
+    def __init__(self, items: Items, members: list[int], passages: np.ndarray, weights: np.ndarray, similarity: float, loose: float, part: float):
+        terms, owners, times, heavy = [], [], [], []
+        self.need, self.load = np.zeros(len(members), np.int64), np.full(len(members), np.inf)
         width = len(passages)
         runs: dict[int, list[int]] = defaultdict(list)
         for j, item in enumerate(members):
@@ -237,7 +242,12 @@ class Rare:
             lacks = len(words) - math.ceil(similarity * len(words) - 1e-9)
             total = np.cumsum(counts[order])
             most = int(np.searchsorted(total, lacks + max(2, SPARE * len(words)))) + 1
+            load = np.cumsum((weights[own] * counts)[order]) / weights[words].sum()
+            if len(words) >= PARAPHRASED and part < 1:
+                most = max(most, int(np.searchsorted(load, HEAVY)) + 1)
+                self.load[j] = part - (1 - load[:most][-1]) - 1e-9
             self.need[j] = total[:most][-1] - lacks
+            heavy.append(np.diff(load[:most], prepend=0))
             terms.append(own[order[:most]])
             times.append(counts[order[:most]])
             owners.append(np.full(len(terms[-1]), j))
@@ -245,12 +255,12 @@ class Rare:
                 runs[(answer[0] * width + answer[1]) * width + answer[2]].append(j)
         terms = np.concatenate(terms)
         order = np.argsort(terms, kind="stable")
-        self.owner, self.times = np.concatenate(owners)[order], np.concatenate(times)[order]
+        self.owner, self.times, self.heavy = (np.concatenate(x)[order] for x in (owners, times, heavy))
         self.first = np.searchsorted(terms[order], np.arange(width + 1))
         self.runs, self.keys = dict(runs), np.array(sorted(runs), np.int64)
 
-    def windows(self, places: np.ndarray, terms: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(member, window) of all regions that may hold an item; windows are numbered by step."""
+    def windows(self, places: np.ndarray, terms: np.ndarray, size: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(member, window) of all regions that may hold an item, and of those that may hold a paraphrase; windows are numbered by step."""
         step, before, cells = grid(size)
         width = int(places[-1]) // step + 2 * cells + 2  # no two members' cells are within a region
         many = (self.first[1:] - self.first[:-1])[terms]
@@ -258,17 +268,20 @@ class Rare:
         many = many[on]
         at = np.arange(many.sum()) + np.repeat(self.first[terms[on]] - (np.cumsum(many) - many), many)
         key, back = np.unique(self.owner[at] * width + np.repeat(places[on] // step, many), return_inverse=True)
-        total = np.concatenate(([0], np.cumsum(np.bincount(back, self.times[at], len(key)))))
-        enough = total[np.searchsorted(key, key + cells)] - total[:-1] >= self.need[key // width]
-        spots = [key[enough]]
+        end = np.searchsorted(key, key + cells)
+
+        def reach(values: np.ndarray, need: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(np.bincount(back, values[at], len(key)))))
+            return key[total[end] - total[:-1] >= need[key // width]]
+
+        spots, likely = [reach(self.times, self.need)], reach(self.heavy, self.load)
         if len(self.keys) and len(terms) >= 3:
             n, t = len(self.first) - 1, terms.astype(np.int64)
             run = (t[:-2] * n + t[1:-1]) * n + t[2:]
             for i in np.flatnonzero(np.isin(run, self.keys)).tolist():
                 spots.append(np.array([j * width + int(places[i]) // step for j in self.runs[int(run[i])]], np.int64))
-        spots = np.unique(np.concatenate(spots))
-        found = np.unique((spots[:, None] + before - np.arange(cells)[None]).ravel())
-        return found // width, found % width
+        found = [np.unique((x[:, None] + before - np.arange(cells)[None]).ravel()) for x in (np.unique(np.concatenate(spots)), likely)]
+        return tuple((x // width, x % width) for x in found)
 
 
 def _near(places: np.ndarray, terms: np.ndarray, space: np.ndarray, queries: dict, least: float):
@@ -300,20 +313,20 @@ def _near(places: np.ndarray, terms: np.ndarray, space: np.ndarray, queries: dic
         yield size, j, on[i] - (run - 1), cos[i, j]
 
 
-def matches_of(batch: pa.RecordBatch, items: Items, local: np.ndarray, space: np.ndarray, queries: dict, least: float, similarity: float, loose: float) -> list[tuple]:
+def matches_of(batch: pa.RecordBatch, items: Items, local: np.ndarray, space: np.ndarray, queries: dict, idf: np.ndarray, chance: float, least: float, similarity: float, loose: float, part: float) -> list[tuple]:
     """Rows of LEAKS for the items that a batch of encoded documents holds."""
     ids, n_words = batch.column("doc_id").to_pylist(), batch.column("n_words").to_numpy()
     places, terms = ([np.frombuffer(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("places", "terms"))
     out, a = [], 0
     while a < len(ids):
         b = max(a + 1, int(np.searchsorted(np.cumsum(n_words[a:]), LINE)) + a)
-        out += [(ids[a + doc], *row) for doc, *row in _matches(n_words[a:b], places[a:b], terms[a:b], items, local, space, queries, least, similarity, loose)]
+        out += [(ids[a + doc], *row) for doc, *row in _matches(n_words[a:b], places[a:b], terms[a:b], items, local, space, queries, idf, chance, least, similarity, loose, part)]
         a = b
     return out
 
 
-def _matches(n_words, places, terms, items, local, space, queries, least, similarity, loose) -> list[tuple]:
-    """(number of the document, item_id, cosine, similarity, start).
+def _matches(n_words, places, terms, items, local, space, queries, idf, chance, least, similarity, loose, part) -> list[tuple]:
+    """(number of the document, item_id, cosine, similarity, start, path).
 
     All documents lie on one line of words, each from a multiple of every step on, with gaps that no window or region bridges.
     """
@@ -327,51 +340,70 @@ def _matches(n_words, places, terms, items, local, space, queries, least, simila
     if not len(places):
         return []
     mark = np.zeros(len(space), bool)
-    found: dict[tuple[int, int], tuple[float, float, int]] = {}
+    weights = idf**2
+    found: dict[tuple[int, int], tuple[float, float, int, str]] = {}
     for size, near, windows, cosines in _near(places, terms, space, queries, least):
         members, _, rare = queries[size]
         step = grid(size)[0]
-        exact, at = rare.windows(places, terms, size)
-        # rows that the latent space names and that could stand, and those that could stand besides
-        wide = int(max(windows.max(initial=0), at.max(initial=0))) + 2 * size
+        # rows that could stand, and rows that the latent space names and that could be paraphrases
+        (exact, at), (likely, there) = rare.windows(places, terms, size)
+        wide = int(max(windows.max(initial=0), at.max(initial=0), there.max(initial=0))) + 2 * size
         keys = near * wide + windows + size
-        could = exact * wide + at + size
-        on = np.isin(keys, could)
+        could, may = exact * wide + at + size, likely * wide + there + size
+        on = np.isin(keys, may)
+        paraphrases = set(keys[on].tolist())
+        on |= np.isin(keys, could)
         known = dict(zip(keys[on].tolist(), cosines[on].tolist(), strict=True))
-        for key in could.tolist():
+        for key in np.union1d(could, keys[on]).tolist():
             j, window = key // wide, key % wide - size
             item, start = members[j], window * step
             words, s = items.words[item], start - size // 2
             lo, hi = np.searchsorted(places, (s, s + 2 * size))
             region = terms[lo:hi]
             mark[region] = True
-            held = int(mark[words].sum())
+            held = words[mark[words]]
             mark[region] = False
             answer = items.answers[item]
-            if not held or held < (loose if len(answer) >= 3 else similarity) * len(words):
+            whole = len(held) > 0 and len(held) >= (loose if len(answer) >= 3 else similarity) * len(words)
+            alike = key in paraphrases and weights[held].sum() >= part * weights[words].sum() and idf[np.unique(held)].sum() >= chance + len(words) * math.log(2)
+            if not whole and not alike:
                 continue
             share = lcs(words, region) / len(words)
-            if share >= similarity or (share >= loose and len(answer) >= 3 and _holds(region.tolist(), answer)):
-                doc = int(np.searchsorted(base, places[lo], "right")) - 1
-                pair, place = (doc, items.ids[item]), max(0, s - int(base[doc]))
-                before = found.get(pair, (0.0, 0.0, 0))
-                cosine = max(known.get(key, 0.0), before[0])
-                found[pair] = (cosine, share, place) if (-share, place) < (-before[1], before[2]) else (cosine, *before[1:])
+            said = len(answer) >= 3 and _holds(region.tolist(), answer)
+            if share >= similarity or (share >= loose and said):
+                path = "sequence"
+            elif alike and (share >= part or said):
+                path = "latent"
+            else:
+                continue
+            doc = int(np.searchsorted(base, places[lo], "right")) - 1
+            pair, place = (doc, items.ids[item]), max(0, s - int(base[doc]))
+            cosine, *before = found.get(pair, (0.0, 0.0, 0, ""))
+            better = (path, share, -place) > (before[2], before[0], -before[1])  # sequence before latent
+            found[pair] = (max(known.get(key, 0.0), cosine), *((share, place, path) if better else before))
     return [(*pair, *v) for pair, v in found.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, loose: float = 0.6, least: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, cosine, similarity, start) for every document and benchmark item it holds.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, loose: float = 0.6, least: float = 0.6, part: float = 0.4) -> DataFrame:
+    """(doc_id, item_id, cosine, similarity, start, path) for every document and benchmark item it holds.
 
     Passages and items become TF-IDF vectors over the items' terms (words, lower case; the square of the smoothed logarithm
     of inverse passage frequency, so no term is left out however common) and are projected on the leading singular
-    vectors of all documents' passages. Windows about as long as an item whose cosine to it is at least least are
-    candidates; those that cannot stand, since too few of the item's words are around (see Rare), are passed over, and
-    all that can are looked at besides, so no window that would stand is lost. cosine is the best one of the windows that
-    stand and that the latent space named, 0 if it named none. A candidate stands if the longest common subsequence of the item and the
-    words around (twice the window's length) covers similarity of the item, or loose of it and the item's answer (at
-    least three words) stands there in one run. Windows start at multiples of grid()'s step, so what is found depends on
-    the document alone; of several windows the one that covers most, and the first of these, is reported.
+    vectors of all documents' passages. Windows about as long as an item whose cosine to it is at least least are the
+    latent search's candidates. Such a window is a paraphrase (path latent) if the words around (twice its length) have part
+    of the item's weight, and the longest common subsequence of the item and them covers part of the item or its answer (at
+    least three words) stands there in one run. So many of the item's words must also be more than chance: the product of
+    the shares of passages that hold each of them, times the passages, the items and the item's sets of words, is at most 1.
+    Only the latent search finds these; part of 1 or a least above 1 leaves them out.
+
+    A window holds the item in sequence (path sequence) if the longest common subsequence covers similarity of the item, or
+    loose of it and the answer stands there. These are looked for whatever the cosine: all windows with enough of the item's
+    words around (see Rare) are checked, so none is lost. cosine is the best one of the windows that stand and that the
+    latent search named, 0 if it named none. Windows start at multiples of grid()'s step, so what is found depends on the
+    document alone; of several windows one in sequence, then the one that covers most, and the first of these, is reported.
+
+    Items of fewer than PARAPHRASED words have no paraphrases. An item of one or two words is held by each document that has
+    them (so a benchmark of single common words has very many rows): such items say nothing and are best left out.
 
     Null and empty texts hold nothing; items without words are passed over, as is a null item_id's name (it comes back
     null). Repeated rows are found as often as they occur, repeated items under each id. An empty table on either side
@@ -385,38 +417,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, l
             own = [terms.setdefault(w, len(terms)) for w in words]
             group.append((r.item_id, own, [terms[w] for w in answer_of(r.text) if w in terms]))
         if group and (r is None or len(terms) >= VOCABULARY):
-            parts += _group(docs, terms, group, similarity, loose, least)
+            parts += _group(docs, terms, group, similarity, loose, least, part)
             terms, group = {}, []
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], LEAKS)
 
 
-LEAKS = "doc_id long, item_id long, cosine double, similarity double, start long"
+LEAKS = "doc_id long, item_id long, cosine double, similarity double, start long, path string"
 
 
-def _group(docs: DataFrame, terms: dict[str, int], group: list[tuple], similarity: float, loose: float, least: float) -> list[DataFrame]:
+def _group(docs: DataFrame, terms: dict[str, int], group: list[tuple], similarity: float, loose: float, least: float, part: float) -> list[DataFrame]:
     encoded = cut(encode(docs, terms), "encoded")
     if (parts := docs.sparkSession.sparkContext.defaultParallelism) > encoded.rdd.getNumPartitions():
         encoded = encoded.repartition(parts)  # a small table, which would be read by too few tasks
     total, passages = frequencies(encoded, len(terms))
-    return [_block(encoded, Items(group[i : i + ITEMS]), total, passages, similarity, loose, least) for i in range(0, len(group), ITEMS)]
+    return [_block(encoded, Items(group[i : i + ITEMS]), total, passages, similarity, loose, least, part) for i in range(0, len(group), ITEMS)]
 
 
-def _block(encoded: DataFrame, items: Items, total: int, passages: np.ndarray, similarity: float, loose: float, least: float) -> DataFrame:
+def _block(encoded: DataFrame, items: Items, total: int, passages: np.ndarray, similarity: float, loose: float, least: float, part: float) -> DataFrame:
     local, passages = items.local(len(passages)), passages[items.terms]
-    weights = np.log((1 + total) / (0.5 + passages)) ** 2
+    idf = np.log((1 + total) / (0.5 + passages))
+    weights, chance = idf**2, math.log(1 + total) + math.log(len(items.ids))
     space = (weights[:, None] * latent(encoded, local, weights)).astype(np.float32)
     queries = {}
     for size, own in items.windows.items():
         m = np.stack([space[items.words[i]].sum(axis=0) for i in own], axis=1)
-        queries[size] = (own, m / np.maximum(np.linalg.norm(m, axis=0), 1e-9), Rare(items, own, passages, similarity, loose))
-    shared = encoded.sparkSession.sparkContext.broadcast((items, local, space, queries))
+        queries[size] = (own, m / np.maximum(np.linalg.norm(m, axis=0), 1e-9), Rare(items, own, passages, weights, similarity, loose, part))
+    shared = encoded.sparkSession.sparkContext.broadcast((items, local, space, queries, idf, chance))
 
     def run(batches):
-        items, local, space, queries = shared.value
+        own = shared.value
         for batch in batches:
-            rows = matches_of(batch, items, local, space, queries, least, similarity, loose)
+            rows = matches_of(batch, *own, least, similarity, loose, part)
             names = [x.split()[0] for x in LEAKS.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return encoded.mapInArrow(run, LEAKS)

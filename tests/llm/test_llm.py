@@ -659,11 +659,15 @@ def test_decontamination_is_brute_force(spark):
         texts.append(" ".join(parts))
     df, bench = docs_of(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     want = leaks_brute(texts, items)
-    rows = decontam.find_leaks(df, bench).collect()
+    every = decontam.find_leaks(df, bench).collect()
+    rows = [r for r in every if r.path == "sequence"]
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) and sum(i == 0 for _, i in want) >= 80
+    # what the latent search adds are the texts that hold a good part of an item
+    more = {(r.doc_id, r.item_id) for r in every if r.path == "latent"}
+    assert len(rows) + len(more) == len(every) and more <= leaks_brute(texts, items, similarity=0.4, loose=0.3) - want
     assert len({i for _, i in want}) >= 6
     again = decontam.find_leaks(df.unionByName(df).repartition(7), bench).collect()
-    assert sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in again) == sorted(2 * [(r.doc_id, r.item_id, r.similarity, r.start) for r in rows])
+    assert sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in again if r.path == "sequence") == sorted(2 * [(r.doc_id, r.item_id, r.similarity, r.start) for r in rows])
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -677,6 +681,46 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()} == {(i, i % 9) for i in range(18)}
 
 
+def paraphrased(rng, item, kind, vocab):
+    own = item.split()
+    if kind == "swapped":
+        return " ".join(own[len(own) // 2 :] + own[: len(own) // 2])
+    for at in rng.choice(len(own), round(0.45 * len(own)), replace=False):
+        own[at] = str(rng.choice(vocab))
+    return " ".join(own)
+
+
+def test_decontamination_of_paraphrases(spark):
+    """Items of 30 words in texts of 150 with 45 % of words replaced or halves swapped: only the latent search finds them.
+
+    Clean texts share the items' vocabulary. Verbatim copies are found with a cosine, so by the latent search as well.
+    """
+    rng = np.random.default_rng(31)
+    vocab = np.array(["".join(rng.choice(list("abcdefghijkl"), rng.integers(4, 9))) for _ in range(3000)])
+    weights = 1 / np.arange(1, len(vocab) + 1) ** 0.7
+    say = lambda n: " ".join(rng.choice(vocab, n, p=weights / weights.sum()))
+    items = [say(30) for _ in range(40)]
+    inside = lambda x: f"{say(60)} {x} {say(60)}"
+    texts = [inside(paraphrased(rng, x, kind, vocab)) for kind in ("swapped", "replaced") for x in items] + [inside(x) for x in items] + [say(150) for _ in range(600)]
+    df, bench = docs_of(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = decontam.find_leaks(df, bench).collect()
+    right = {(r.doc_id, r.item_id) for r in rows if r.doc_id < 120 and r.doc_id % 40 == r.item_id}
+    latent = [r for r in rows if r.path == "latent"]
+    assert sum(40 > d for d, _ in right) >= 36 and sum(80 > d >= 40 for d, _ in right) >= 34
+    assert {(80 + i, i) for i in range(40)} <= right and len(rows) - len(right) <= 1
+    assert all(r.cosine >= 0.6 for r in latent) and len(latent) >= 70
+    assert sum(r.cosine >= 0.6 for r in rows if r.doc_id in range(80, 120)) >= 36
+    off = decontam.find_leaks(df, bench, least=9).collect()
+    assert not [r for r in off if r.path == "latent"] and {(r.doc_id, r.item_id) for r in off} == {(r.doc_id, r.item_id) for r in rows if r.path == "sequence"}
+
+
+def test_decontamination_of_short_items(spark):
+    """One- and two-word items are held by every document that has their words in order; they have no paraphrases."""
+    df = docs_of(spark, ["one two three", "two one", "three", "nothing"])
+    rows = decontam.find_leaks(df, spark.createDataFrame([(1, "one"), (2, "one two")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.path) for r in rows} == {(0, 1, "sequence"), (1, 1, "sequence"), (0, 2, "sequence")}
+
+
 # rows that repeat, ids that are null or shared, and columns of any name
 
 
