@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["text_queries", "runlog_queries", "vector_queries", "lexical_queries", "join_queries", "graph_queries", "retrieval_queries", "store_queries", "model_queries", "source_queries", "index_queries"]
+MODULES = ["text_queries", "runlog_queries", "vector_queries", "lexical_queries", "join_queries", "graph_queries", "retrieval_queries", "store_queries", "model_queries", "source_queries", "index_queries", "engine_queries"]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions import evaluation as E
 from quillon.functions import models
 from quillon.functions import text as T
+from quillon.functions import vectors as V
 from quillon.operators import cluster, fusion, graph, knowledge, lexical, segment, vector_search
 
 FOUND = ["query_id", "chunk_id", "doc_id", "text", "score", "rank"]
@@ -122,7 +123,7 @@ class HybridEngine(LexicalEngine):
         merged = fusion.merge({"lexical": lex, "dense": dense, "entity": entity}, ["query_id", "doc_id"]).where("dense > 0 or lexical > 0")
         docs = fusion.ranking(fusion.weighted(merged, self.filter_weights), "doc_id")
         own = fusion.fill_chunks(docs, chunks.select("id", "doc_id"), hits.select("query_id", "id"), self.limit).select("query_id", "id")
-        close = vector_search.top_k(chunks.select("id", "vector"), asked, None).join(own, ["query_id", "id"], "left_semi")
+        close = own.join(chunks.select("id", "vector"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("asked")), "query_id").select("query_id", "id", V.cosine(F.col("vector"), F.col("asked")).alias("score"))
         words = by_term.groupBy("query_id", "id").agg(F.sum("score").alias("score")).withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id", "id"), "chunk_id").join(own, ["query_id", "id"], "left_semi")
         ppr = self._graph(own, hits, close, k)
         scores = fusion.merge({"ppr": ppr, "dense": close, "lexical": words}, ["query_id", "id"])

@@ -41,3 +41,23 @@ def test_no_retrieval(spark, corpus, tmp_path):
     docs, asked = corpus
     e = engines.NoRetrieval(spark, str(tmp_path))
     assert e.retrieve(asked).count() == 0 and e.generate(asked, e.retrieve(asked)).count() == 2
+
+
+def test_vector_engine_is_brute_force(spark, tmp_path):
+    """The engine's scores by rank are those of all chunks against all questions in numpy."""
+    import numpy as np
+
+    from quillon.functions.models import hashed_vector
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["oak", "elm", "ash", "fir", "yew", "bay", "fig"], int(rng.integers(1, 70)))) for _ in range(40)]
+    e = engines.VectorEngine(spark, str(tmp_path), chunk_words=20)
+    e.index(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    asked = [(i, f"{t[:20]} elm") for i, t in enumerate(texts[:6])]
+    got = {(r.query_id, r["rank"]): r.score for r in e.retrieve(spark.createDataFrame(asked, "query_id long, question string"), 7).collect()}
+    chunks = [t.split()[i : i + 20] for t in texts for i in range(0, len(t.split()), 20)]
+    matrix = np.array([hashed_vector(" ".join(c)) for c in chunks])
+    for i, q in asked:
+        best = np.sort(matrix @ np.array(hashed_vector(q)))[::-1][:7]
+        np.testing.assert_allclose([got[i, n] for n in range(1, 8)], best, atol=1e-6)
+    assert len(got) == 42
