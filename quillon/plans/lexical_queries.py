@@ -9,6 +9,7 @@ from quillon.catalog import Tables, query
 from quillon.operators import lexical as L
 from quillon.operators import segment as S
 from quillon.plans.runlog_queries import rounded
+from quillon.session import written
 
 TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '')"
 CHUNKS = r"""w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents),
@@ -31,10 +32,15 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
+def kept(own: DataFrame) -> L.Index:
+    """An index of written tokens, so texts are cut once for all its passes."""
+    return L.of_tokens_table(written(L.tokens(own), "tokens"))
+
+
 @query(f"with {CHUNKS}, {INDEX}, {BEST} select query_id, id, round(score, 6) as score, cast(rank as int) as rank from k where rank <= 10")
 def bm25_topk(t: Tables) -> DataFrame:
     own = chunks(t)
-    return rounded(L.top_k(L.index(own), questions(t), 10))
+    return rounded(L.top_k(kept(own), questions(t), 10))
 
 
 @query(f"""with {CHUNKS}, {INDEX}, m as (select query_id, term, id, doc_id, times * plus * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average)) as score from q join i using (term) join p using (term), s where times * length > 0),
@@ -42,7 +48,7 @@ k as (select *, row_number() over (partition by query_id, term order by round(sc
 def fulltext_documents(t: Tables) -> DataFrame:
     """Each search term's twenty best chunks, summed by document."""
     own = chunks(t)
-    scores = L.term_scores(L.index(own), questions(t), kind="plus", k1=1.2)
+    scores = L.best_of_terms(kept(own), questions(t), 20, kind="plus", k1=1.2)
     return rounded(L.document_scores(scores, own, 20))
 
 
