@@ -145,8 +145,8 @@ def corpus_summary_tree(t: Tables) -> DataFrame:
 @query()
 def retrieval_rounds(t: Tables) -> DataFrame:
     """Every item in up to three rounds of BM25, each thought the start of the best passage not thought of yet."""
-    own = cut_chunks(t)
-    ix = lexical.of_postings(written(lexical.postings(own), "postings"), own)
+    own = written(cut_chunks(t), "chunks")
+    ix = lexical.kept(written(lexical.tokens(own), "tokens"), written)
     found, state = rounds.iterate(asked(t).withColumnRenamed("text", "question"), own.select("id", "text"), lambda q: lexical.top_k(ix, q, 5), models.next_thought)
     return rounded(found.where("rank <= 5").join(state.select("query_id", "rounds"), "query_id").select("query_id", "id", "score", "rank", "rounds"))
 
