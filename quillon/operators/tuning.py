@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import forget, written
+
 
 def scaled(rows: DataFrame, features: list[str]) -> tuple[DataFrame, dict[str, float]]:
     """Features with mean 0 and deviation 1, and the deviations."""
@@ -19,23 +21,27 @@ def scaled(rows: DataFrame, features: list[str]) -> tuple[DataFrame, dict[str, f
 def pairwise_weights(rows: DataFrame, group: str, label: str, features: list[str], rounds: int = 60, rate: float = 0.5, margin: float = 0.1) -> dict[str, float]:
     """Non-negative weights under which positives of a group outscore its negatives by margin.
 
-    Projected subgradient steps on the mean hinge loss over all pairs; each step is one aggregate over the joined pairs,
-    so only as many numbers as features reach the driver. Weights are given for unscaled features, the largest being 10.
+    Projected subgradient steps on the mean hinge loss over all pairs, none of which is made: a row counts, in the order
+    of its group's scores, the rows of the other label that it is not margin apart from, so a step is a sort of the rows
+    and one aggregate. Weights are given for unscaled features, the largest being 10.
     """
     own, dev = scaled(rows, features)
-    positive = own.where(F.col(label) == 1).select(group, *[F.col(c).alias(f"p_{c}") for c in features])
-    negative = own.where(F.col(label) == 0).select(group, *[F.col(c).alias(f"n_{c}") for c in features])
-    gaps = positive.join(negative, group).select(*[(F.col(f"p_{c}") - F.col(f"n_{c}")).alias(c) for c in features]).persist()
+    own = written(own.where(F.col(label).isin(0, 1) & F.col(group).isNotNull()).select(F.col(group).alias("g"), (F.col(label) == 1).alias("up"), *features), "pairs")
+    sizes = own.groupBy("g").agg(F.count_if("up").alias("ups"), F.count_if(~F.col("up")).alias("downs"))
+    pairs = sizes.agg(F.sum(F.col("ups").cast("double") * F.col("downs"))).first()[0]
     w = np.full(len(features), 0.5)
-    try:
-        if gaps.isEmpty():
-            return {}
-        for i in range(rounds):
-            short = sum((F.col(c) * float(x) for c, x in zip(features, w, strict=True)), F.lit(0.0)) < margin
-            step = gaps.agg(*[F.avg(F.when(short, F.col(c)).otherwise(0.0)).alias(c) for c in features]).first()
-            w = np.maximum(w + rate / np.sqrt(i + 1) * np.array([step[c] for c in features]), 0.0)
-    finally:
-        gaps.unpersist()
+    if not pairs:
+        return {}
+    sound = own.dropna(subset=features)
+    for i in range(rounds):
+        score = sum((F.col(c) * float(x) for c, x in zip(features, w, strict=True)), F.lit(0.0))
+        keyed = sound.withColumn("key", F.when(F.col("up"), score - margin).otherwise(score))
+        # at equal keys negatives come first: a positive is short of negatives over its key, a negative of positives under it
+        before = Window.partitionBy("g").orderBy("key", "up").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        other = F.when(F.col("up"), F.count_if(~F.col("up")).over(Window.partitionBy("g")) - F.count_if(~F.col("up")).over(before)).otherwise(-F.count_if("up").over(before))
+        step = keyed.withColumn("many", other.cast("double")).agg(*[F.sum(F.col(c) * F.col("many")).alias(c) for c in features]).first()
+        w = np.maximum(w + rate / np.sqrt(i + 1) * np.array([(step[c] or 0.0) / pairs for c in features]), 0.0)
+    forget(own)
     raw = w / np.array([dev[c] for c in features])
     return dict(zip(features, (raw / raw.max() * 10 if raw.max() > 0 else raw).tolist(), strict=True))
 
