@@ -16,21 +16,32 @@ TYPES = {"PER": "Person", "LOC": "Location", "MISC": "Miscellaneous", "ORG": "Or
 def merged(text: Column, spans: Column) -> Column:
     """spans (start, end, label) in order, neighbours of one label put together: those with nothing, only white space or one joiner between.
 
-    A label's B- or I- is dropped. One fold over the spans keeps those that are closed and the one that is open. Offsets
-    count code points from 0. Null spans stay null, none give none; overlapping spans of one label are merged.
+    A label's B- or I- is dropped. A span that does not join the one before it opens a new one, which ends where the span
+    before the next open one ends; each span is looked at once. Offsets count code points from 0. Null spans stay null,
+    none give none; overlapping spans of one label are merged.
     """
     kind = "array<struct<start:int,end:int,label:string>>"
     label = lambda s: F.regexp_replace(s["label"], "^[^-]*-", "")
     own = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), label(s).alias("label")))
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        gap = F.substring(text, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
-        joins = F.coalesce((last["label"] == s["label"]) & ((gap == "") | gap.rlike(r"^[\s\p{Z}]+$") | gap.isin(JOINERS)), F.lit(False))
-        grown = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["label"].alias("label"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(s))).cast(kind)
+    def cut(all_: Column) -> Column:
+        """Places of spans that open."""
 
-    return F.aggregate(own, F.array().cast(kind), step)
+        def opens(i: Column) -> Column:
+            last, s = F.get(all_, i - 1), F.get(all_, i)
+            gap = F.substring(text, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
+            joins = F.coalesce((last["label"] == s["label"]) & ((gap == "") | gap.rlike(r"^[\s\p{Z}]+$") | gap.isin(JOINERS)), F.lit(False))
+            return (i == 0) | ~joins
+
+        return F.filter(F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1)).otherwise(F.array().cast("array<int>")), opens)
+
+    def whole(all_: Column, at: Column) -> Column:
+        ends = lambda j: F.coalesce(F.get(at, j + 1), F.size(all_)) - 1
+        return F.transform(at, lambda i, j: F.struct(F.get(all_, i)["start"].alias("start"), F.get(all_, ends(j))["end"].alias("end"), F.get(all_, i)["label"].alias("label"))).cast(kind)
+
+    # arrays of one element name what is used more than once, so it is computed once
+    found = F.transform(F.array(own), lambda all_: F.struct(all_.alias("all"), cut(all_).alias("at")))
+    return F.when(spans.isNotNull(), F.transform(found, lambda x: whole(x["all"], x["at"]))[0])
 
 
 def names(text: Column, spans: Column) -> Column:
