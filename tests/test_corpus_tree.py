@@ -115,3 +115,35 @@ def test_tree(spark):
             assert r.text == models.summarize([nodes[c].text for c in sorted(r.children)]) and np.allclose(r.vector, models.hashed_vector(r.text), atol=1e-6)
     assert any(r.layer == top and len(r.children) for r in nodes.values())
     assert sorted(r.id for r in corpus_tree.grow(df.limit(5), models.summarize, models.encode, dim=6).collect() if r.layer == 0) and corpus_tree.grow(df.limit(0), models.summarize, models.encode).count() == 0
+
+
+def test_moments_of_mixtures_together_equal_each_alone():
+    z, _ = grouped(150, 5, 4)
+    fits = corpus_tree.mixtures(z, 6)
+    for k, (m, got) in enumerate(zip(fits, corpus_tree.moments(z, fits), strict=True), 1):
+        alone = corpus_tree.Mixture.start(z, k)
+        assert np.array_equal(m.mean, alone.mean) and np.array_equal(m.weight, alone.weight)
+        r, each = m.expect(z)
+        for a, b in zip(got, (r.sum(0), r.T @ z, r.T @ (z * z), each.sum()), strict=True):
+            assert np.allclose(a, b)
+
+
+def test_groups_that_fit_a_task_need_few_jobs(spark, monkeypatch):
+    x, _ = grouped(240, 6)
+    df = table(spark, x)
+
+    def found(group):
+        spark.sparkContext.setJobGroup(group, group)
+        by = {}
+        for r in corpus_tree.global_groups(df, 5, 0.3).collect():
+            by.setdefault(r.group, []).append(r.id)
+        return sorted(map(sorted, by.values())), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    (one, few), _ = found("inside"), monkeypatch.setattr(corpus_tree, "FIT", 0)
+    by_rounds, many = found("rounds")
+    assert one == by_rounds and few < 10 < many
+
+
+def test_groups_are_dealt_to_tasks(spark):
+    x, _ = grouped(240, 6)
+    assert corpus_tree.clusters(table(spark, x), 5, 0.3, 150).rdd.getNumPartitions() >= 8
