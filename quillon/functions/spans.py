@@ -63,19 +63,31 @@ def named_triples(text: Column, found: Column) -> Column:
     """(s, r, o) of a chunk, given the names found in it: neighbours in a sentence with the words between them.
 
     Longer names are looked for first, so a name inside another one is only found where it stands alone. Words between
-    are trimmed of marks; names that touch have the relation "is with". A repeated triple is kept once.
+    are trimmed of marks; names that touch have the relation "is with". A repeated triple is kept once. Names are put in
+    order once a chunk, texts of fewer than two names and sentences of fewer than two marks are not searched.
     """
-    longest = F.array_sort(F.filter(F.array_distinct(found), lambda n: n != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0)))
     open_, close = "\ue000", "\ue001"  # private characters; a text's own are taken out first
-    numbered = F.transform(longest, lambda n, i: F.struct(n.alias("name"), F.concat(F.lit(open_), i.cast("string"), F.lit(close)).alias("mark")))
-    masked = F.aggregate(numbered, F.translate(text, open_ + close, ""), lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), n["name"], F.lit(r"\E(?![\p{L}\p{N}])")), n["mark"]))
+    keyed = F.transform(F.filter(F.array_distinct(found), lambda n: n != ""), lambda n: F.struct((-F.length(n)).alias("size"), n.alias("name")))
+    names = F.transform(F.array_sort(keyed), lambda k: k["name"])
+    none = F.array().cast("array<struct<s:string,r:string,o:string>>")
     whole = f"{open_}(\\d+){close}([^{open_}]*)(?={open_}(\\d+){close})"
 
-    def of(sentence: Column) -> Column:
+    def masked(longest: Column) -> Column:  # a pattern that begins with the name is found fast; what stands before it is looked at after that
+        numbered = F.transform(longest, lambda n, i: F.struct(n.alias("name"), F.concat(F.lit(open_), i.cast("string"), F.lit(close)).alias("mark")))
+        hide = lambda acc, n: F.when(F.contains(acc, n["name"]), F.regexp_replace(acc, F.concat(F.lit(r"\Q"), n["name"], F.lit(r"\E(?<![\p{L}\p{N}]\Q"), n["name"], F.lit(r"\E)(?![\p{L}\p{N}])")), n["mark"])).otherwise(acc)
+        return F.aggregate(numbered, F.translate(text, open_ + close, ""), hide)
+
+    def of(sentence: Column, longest: Column) -> Column:
         a, r, b = (F.regexp_extract_all(sentence, F.lit(whole), F.lit(i)) for i in (1, 2, 3))
         return F.transform(
             F.arrays_zip(a.alias("a"), r.alias("r"), b.alias("b")),
             lambda z: F.struct(F.get(longest, z["a"].cast("int")).alias("s"), F.coalesce(F.nullif(F.regexp_replace(z["r"], r"^[\s\p{P}]+|[\s\p{P}]+$", ""), F.lit("")), F.lit("is with")).alias("r"), F.get(longest, z["b"].cast("int")).alias("o")),
         )
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(T.sentences(masked), of)), lambda t: t["s"] != t["o"]))
+    def triples(longest: Column) -> Column:
+        told = F.filter(T.sentences(masked(longest)), lambda s: s.rlike(f"{open_}[^{open_}]*{open_}"))
+        return F.array_distinct(F.filter(F.flatten(F.transform(told, lambda s: of(s, longest))), lambda t: t["s"] != t["o"]))
+
+    # an array of one element names what is used more than once, so it is computed once
+    once = F.transform(F.array(names), lambda longest: F.when(F.size(longest) > 1, triples(longest)).when(longest.isNotNull(), none))
+    return F.when(text.isNotNull(), once[0])

@@ -29,3 +29,10 @@ def test_spans_without_a_fold(spark):
     found = df.select(spans.merged(F.col("text"), F.col("s")).alias("m"))
     assert [tuple(x) for x in found.first().m] == [(0, 7, "PER"), (11, 12, "ORG")]
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_put_in_order_once(spark):
+    df = spark.sql("select 'Ann met Bob. Bob of York left.' as text, array('Bob', 'Ann', 'York') as names union all select 'Ann', array('Ann') union all select 'Ann', null union all select null, array('Ann')")
+    found = df.select(spans.named_triples(F.col("text"), F.col("names")).alias("t"))
+    assert [r.t if not r.t else [tuple(x) for x in r.t] for r in found.collect()] == [[("Ann", "met", "Bob"), ("Bob", "of", "York")], [], None, None]
+    assert found._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
