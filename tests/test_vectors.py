@@ -79,3 +79,31 @@ def test_index_add_and_odd_rows(spark, tmp_path):
     assert none.search(vectors(spark, x[:2]), 3).count() == 0
     with pytest.raises(ValueError):
         vector_index.VectorIndex(spark, "x", "dot")
+
+
+def test_leading_equals_a_whole_sort(monkeypatch):
+    monkeypatch.setattr(vector_search, "SLICE", 7)
+    monkeypatch.setattr(vector_search, "STRIP", 16)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (90, 4)).astype(float)  # whole numbers: many scores are equal, and exact
+    q, ids, own = x[:40], np.arange(40) + 1000, np.sort(rng.permutation(500)[:90])
+    for k in (1, 5, 30, 89):
+        for metric, least in (("dot", None), ("dot", 3.0), ("L1", -4.0), ("cosine", 2.0)):
+            shuffled = rng.permutation(90)
+            got = sorted(zip(*(c.tolist() for c in vector_search._best(own[shuffled], x[shuffled], ids, q, k, metric, least, 1e-9)), strict=True))
+            s, want = vector_search._scores(metric, x, q, 1e-9), []
+            for j in range(40):
+                best = sorted(zip((-s[:, j]).tolist(), own.tolist(), strict=True))[:k]
+                want += [(int(ids[j]), i, -v) for v, i in best if least is None or -v >= least]
+            assert got == sorted(want)
+
+
+def test_many_vectors_move_few_times(spark, monkeypatch):
+    assert vector_search.PART >= 100000  # k rows a query and part are shuffled
+    monkeypatch.setattr(vector_search, "BLOCK", 50)
+    df = vectors(spark, clustered(300))
+    want = sorted((r.query_id, r.id, r["rank"]) for r in vector_search.top_k(df, df, 4, "L2").collect())
+    monkeypatch.setattr(vector_search, "PAIRS", 1)
+    monkeypatch.setattr(vector_search, "ASKED_LEAST", 20)
+    found = vector_search.top_k(df, df, 4, "L2")
+    assert sorted((r.query_id, r.id, r["rank"]) for r in found.collect()) == want and "RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString()
