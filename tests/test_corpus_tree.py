@@ -147,3 +147,19 @@ def test_groups_that_fit_a_task_need_few_jobs(spark, monkeypatch):
 def test_groups_are_dealt_to_tasks(spark):
     x, _ = grouped(240, 6)
     assert corpus_tree.clusters(table(spark, x), 5, 0.3, 150).rdd.getNumPartitions() >= 8
+
+
+def test_layout_takes_powers_once_a_pair(monkeypatch):
+    sizes = []
+
+    class Exponent(float):
+        __array_ufunc__ = None
+
+        def __rpow__(self, x):
+            sizes.append(x.size)
+            return x ** float(self)
+
+    x = grouped(40, 4)[0]
+    plain = layout.lay_out(x, 3, 6)
+    monkeypatch.setattr(layout, "B", Exponent(layout.B))
+    assert (layout.lay_out(x, 3, 6) == plain).all() and set(sizes) == {40 * 39 // 2}
